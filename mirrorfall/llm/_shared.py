@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever they run: its sources go to them once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="mirrorfall-")) / "mirrorfall_sources.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(path))
+    atexit.register(shutil.rmtree, path.parent, True)
+    _shipped.add(context.applicationId)
+
+
 def utf8_parts(column: pa.Array, limit: int = _TEXT_SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of about `limit` bytes (a longer text stands alone).
 
@@ -127,3 +148,27 @@ ASCII_LOWER[65:91] += 32
 #: Bytes of words `[^\x20\x09-\x0D]+`.
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def map_text(df: DataFrame, text: str, added: str, compute, keep: list[str] | None = None, rows: int = 2048) -> DataFrame:
+    """Rows of df (its columns `keep`, all by default) with the columns of the DDL string `added` behind them.
+
+    compute(column) takes an Arrow string column and gives the list of added Arrow columns. It runs on executors, on at
+    most `rows` rows at once; its name clashes are the caller's to avoid.
+    """
+    ship(df.sparkSession)
+    keep = df.columns if keep is None else keep
+    new = df.sparkSession.createDataFrame([], added).schema
+    taken = [c for c in keep if c != text] + [text]
+    schema = df.select(*keep).schema
+    for field in new:
+        schema = schema.add(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, max(batch.num_rows, 1), rows):
+                part = batch.slice(at, rows)
+                columns = [part.column(part.schema.get_field_index(c)) for c in keep] + compute(part.column(part.schema.get_field_index(text)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.select(*taken).mapInArrow(run, schema)

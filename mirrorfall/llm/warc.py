@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, scratch_path
+from ._shared import materialize, scratch_path, ship
 
 _URL = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)")
 _CAPTURE = "key string, page_id long, file string, offset long, length long"
@@ -254,6 +254,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, as parsed from the records read back.
     """
+    ship(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = scratch_path(spark, "warc")
     captures = write_archives(pages, folder)
