@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op6_decontam
+from .pieces import op5_sentencepiece
 from .sharding import op4_sharding
 from .toxicity import op2_toxicity
 from .warc import op3_warc
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_decontam": op6_decontam,
 }
 

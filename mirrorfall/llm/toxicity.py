@@ -10,14 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import map_text, mix, ship, span_hashes, utf8_parts, word_spans
+from ._shared import map_text, mix, ship, sorted_unique, span_hashes, utf8_parts, word_spans
 
 #: Feature hash bits; weights and training state are bounded by 2**BITS coordinates.
 BITS = 20
 #: Most labelled documents that the model is fitted on.
-MAX_TRAIN_DOCS = 10_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+MAX_TRAIN_DOCS = 16_000
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 1.0
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
         samples, marks, keys = [], [], []
         for batch in batches:
             for first, last, rows, buckets in features(batch.column(1)):
-                pairs = np.unique((rows << BITS) | buckets)
+                pairs = sorted_unique((rows << BITS) | buckets)
                 samples += [x.astype(np.int32) for x in np.split(pairs & ((1 << BITS) - 1), np.searchsorted(pairs >> BITS, np.arange(1, last - first)))]
             keys += batch.column(0).to_pylist()
             marks += batch.column(2).to_pylist()
@@ -107,7 +107,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
         total = np.full(len(column), bias)
         for first, last, rows, buckets in features(column):
             live = dense[buckets] != 0
-            pairs = np.unique((rows[live] << BITS) | buckets[live])
+            pairs = sorted_unique((rows[live] << BITS) | buckets[live])
             total[first:last] += np.bincount(pairs >> BITS, dense[pairs & ((1 << BITS) - 1)], last - first)
         return [pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())]
 
