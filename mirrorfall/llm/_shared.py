@@ -12,9 +12,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _TEXT_SLICE_BYTES = 4 << 20
+_CALL_BYTES = 6 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
@@ -158,11 +160,22 @@ NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def map_text(df: DataFrame, text: str, added: str, compute, keep: list[str] | None = None, rows: int = 2048) -> DataFrame:
+def _cuts(column: pa.Array, rows: int) -> Iterator[tuple[int, int]]:
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        limit = (ends[at - 1] if at else 0) + _CALL_BYTES
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, limit, "right"))))
+        yield at, end
+        at = end
+
+
+def map_text(df: DataFrame, text: str, added: str, compute, keep: list[str] | None = None, rows: int = 4096) -> DataFrame:
     """Rows of df (its columns `keep`, all by default) with the columns of the DDL string `added` behind them.
 
     compute(column) takes an Arrow string column and gives the list of added Arrow columns. It runs on executors, on at
-    most `rows` rows at once; its name clashes are the caller's to avoid.
+    most `rows` rows and about _CALL_BYTES of text at once; name clashes are the caller's to avoid.
     """
     ship(df.sparkSession)
     keep = df.columns if keep is None else keep
@@ -174,8 +187,8 @@ def map_text(df: DataFrame, text: str, added: str, compute, keep: list[str] | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), rows):
-                part = batch.slice(at, rows)
+            for at, end in _cuts(batch.column(batch.schema.get_field_index(text)), rows):
+                part = batch.slice(at, end - at)
                 columns = [part.column(part.schema.get_field_index(c)) for c in keep] + compute(part.column(part.schema.get_field_index(text)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -25,6 +25,8 @@ from ._shared import map_text, mix, powers, prefix_hashes, ship, sorted_unique
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _BLANK = 0x2581
 _PAIR_SLOTS = 1 << 20
+#: Distinct words whose ids a process remembers; it starts anew beyond them.
+_SEEN_WORDS = 1_000_000
 _FILTER_BITS = 22
 _FAR = np.iinfo(np.int64).max
 
@@ -53,6 +55,7 @@ class Pieces:
         self._keys()
         self.pair_keys = np.full(_PAIR_SLOTS, -1, np.int64)
         self.pair_fits = np.zeros(_PAIR_SLOTS, bool)
+        self._forget()
 
     def merge(self, text: str) -> list[tuple[str, object]]:
         """The merges' result on one word, by the definition: (piece, its tree); used for the vocabulary's own pieces."""
@@ -222,7 +225,7 @@ class Pieces:
         units = np.frombuffer("".join(blank + x.replace(" ", blank) if x else "" for x in texts).encode("utf-32-le"), np.uint32)
         sizes = np.array([len(x) + 1 if x else 0 for x in texts], np.int64)
         if not len(units):
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         # No piece holds a blank behind another character, a line break or two digits: words end before and after these.
         is_blank = units == _BLANK
         alone = (units == 10) | ((units >= 48) & (units <= 57))
@@ -239,14 +242,45 @@ class Pieces:
         first[1:] = keys[order][1:] != keys[order][:-1]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(first) - 1
-        shown = order[first]  # a place of each distinct word
-        counts = np.zeros(len(shown), np.int64)
+        shown = order[first]  # a place of each distinct word, in the order of keys
+        pool, pool_at, counts = self._words(keys[shown], units, starts[shown], lengths[shown])
+        per_word = counts[which]
+        ends = np.cumsum(per_word)
+        ids = pool[np.arange(ends[-1]) - np.repeat(ends - per_word - pool_at[which], per_word)]
+        rows = np.searchsorted(np.cumsum(sizes), starts, "right")
+        return ids, np.bincount(rows, per_word, len(texts)).astype(np.int64)
+
+    def _words(self, keys: np.ndarray, units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words in one array, with each word's place in it and count. Words seen before are remembered."""
+        at = np.minimum(np.searchsorted(self.seen, keys), max(len(self.seen) - 1, 0))
+        known = self.seen[at] == keys if len(self.seen) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            pool, pool_at, counts = self._encode_words(units, starts[new], lengths[new])
+            if len(self.seen) + len(new) > _SEEN_WORDS and len(self.seen):
+                self._forget()
+                return self._words(keys, units, starts, lengths)
+            place = np.searchsorted(self.seen, keys[new])
+            self.seen = np.insert(self.seen, place, keys[new])
+            self.seen_at = np.insert(self.seen_at, place, pool_at + len(self.seen_pool))
+            self.seen_count = np.insert(self.seen_count, place, counts)
+            self.seen_pool = np.append(self.seen_pool, pool)
+            at = np.searchsorted(self.seen, keys)
+        return self.seen_pool, self.seen_at[at], self.seen_count[at]
+
+    def _forget(self) -> None:
+        self.seen = np.zeros(0, np.uint64)
+        self.seen_at = self.seen_count = np.zeros(0, np.int64)
+        self.seen_pool = np.zeros(0, np.int32)
+
+    def _encode_words(self, units: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts = np.zeros(len(starts), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        by_length = np.argsort(lengths[shown], kind="stable")
-        for group in np.split(by_length, np.flatnonzero(np.diff(lengths[shown][by_length])) + 1):
-            size = int(lengths[shown[group[0]]])
+        by_length = np.argsort(lengths, kind="stable")
+        for group in np.split(by_length, np.flatnonzero(np.diff(lengths[by_length])) + 1):
+            size = int(lengths[group[0]])
             for part in np.array_split(group, max(1, len(group) * size >> 21)):
-                words = units[starts[shown[part]][:, None] + np.arange(size)]
+                words = units[starts[part][:, None] + np.arange(size)]
                 runs = (words[:, :2] == _BLANK).sum(axis=1) == 2  # runs of blanks, whose merges tie
                 for k in np.flatnonzero(runs):
                     text = words[k].tobytes().decode("utf-32-le")
@@ -257,7 +291,7 @@ class Pieces:
                     ids, got = self.viterbi(words[~runs])
                     found.append((part[~runs], ids))
                     counts[part[~runs]] = got
-        pool_at = np.zeros(len(shown), np.int64)
+        pool_at = np.zeros(len(starts), np.int64)
         place = 0
         for rows, ids in found:
             pool_at[rows] = place + np.cumsum(counts[rows]) - counts[rows]
@@ -279,11 +313,7 @@ class Pieces:
             pool_at = totals[pool_from]
             counts = totals[pool_from + counts_from] - pool_at
             pool = wide
-        per_word = counts[which]
-        ends = np.cumsum(per_word)
-        ids = pool[np.arange(ends[-1]) - np.repeat(ends - per_word - pool_at[which], per_word)]
-        rows = np.searchsorted(np.cumsum(sizes), starts, "right")
-        return ids, np.bincount(rows, per_word, len(texts)).astype(np.int64)
+        return pool.astype(np.int32), pool_at, counts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of ids: the pieces' bytes, without the blank that encoding puts in front."""
@@ -340,7 +370,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, path: str = MODEL_PAT
             lists = pc.if_else(nulls, None, lists)
         return [lists, pa.array(counts, pa.int64()), same]
 
-    return map_text(docs, text, "ids array<int>, n_tokens long, round_trip boolean", compute, keep, rows=1024)
+    return map_text(docs, text, "ids array<int>, n_tokens long, round_trip boolean", compute, keep)
 
 
 def _from_bytes(name: str, data: bytes) -> Pieces:
