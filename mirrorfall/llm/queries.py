@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op6_decontam
 from .pieces import op5_sentencepiece
+from .quality import op8_quality
 from .sharding import op4_sharding
 from .toxicity import op2_toxicity
 from .warc import op3_warc
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontam": op6_decontam,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
