@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op6_decontam
+from .lines import op7_lines
 from .pieces import op5_sentencepiece
 from .quality import op8_quality
 from .sharding import op4_sharding
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontam": op6_decontam,
+    "op7_lines": op7_lines,
     "op8_quality": op8_quality,
 }
 
