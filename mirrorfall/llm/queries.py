@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op6_decontam
 from .lines import op7_lines
+from .neardups import op10_neardups
 from .pieces import op5_sentencepiece
 from .quality import op8_quality
 from .sharding import op4_sharding
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontam": op6_decontam,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
+    "op10_neardups": op10_neardups,
 }
 
 ORACLE_SQL: dict[str, str] = {}
