@@ -120,15 +120,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     mark = docs.withColumn("__hash", F.xxhash64("text"))
     gone = judged_lines(mark, ["doc_id", "__hash"]).where("removed").groupBy("doc_id", "__hash").agg(F.collect_set("line_no").alias("__gone"))
+    return without_lines(mark, gone, docs.columns)
+
+
+def without_lines(mark: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """Documents (with __hash, their text's hash) without the lines of `gone` (doc_id, __hash, __gone: numbers of a text's lines)."""
     gone = materialize(gone.withColumnsRenamed({"doc_id": "__id", "__hash": "__h"}), "line-removals")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     joined = mark.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__h")), "left")
     cut = joined.withColumn("__lines", kept)
     cut = cut.where(F.col("__gone").isNull() | F.exists("__lines", lambda x: x.rlike(_WORD)))
     cut = cut.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__lines", "\n")))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return cut.select(*docs.columns)
+    if "n_chars" in columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(mark.schema["n_chars"].dataType)))
+    return cut.select(*columns)
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

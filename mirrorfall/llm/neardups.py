@@ -384,6 +384,20 @@ def _tree_candidates(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.select("key", "i", "j", "side", "id", "n", "component", "bits").mapInArrow(traverse, "a long, b long").distinct()
 
 
+def clusters(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, component) of every id that a verified link reaches. `buckets` has key, id, n, c (sets in the bucket) and lead
+    (its first set); `texts` has id, n, text, bits of every id in a bucket."""
+    stars = buckets.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    links = verified(stars, texts)
+    joined = materialize(components(links), "first-components")
+    labelled = materialize(buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "bucket-components")
+    open_ = materialize(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "open-buckets")
+    tried = materialize(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried-pairs")
+    pairs = materialize(_tree_candidates(labelled.join(open_, "key"), texts).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+    every = materialize(links.unionByName(verified(pairs, texts)), "all-links")
+    return materialize(components(every), "components")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -398,16 +412,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = _buckets(sets)
     wanted = materialize(buckets.select("id").distinct().join(sets.select("id", "s1", "n"), "id"), "wanted-sets")
     texts = materialize(signed(docs, ["id", "text"]).join(wanted, ["id", "s1"]).select("id", "n", "text", "bits").distinct(), "wanted-texts")
-    stars = buckets.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(stars, texts)
-    joined = materialize(components(links), "first-components")
-    labelled = materialize(buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "bucket-components")
-    open_ = materialize(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "open-buckets")
-    rest = labelled.join(open_, "key")
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(_tree_candidates(rest, texts).join(materialize(tried, "tried"), ["a", "b"], "left_anti"), "tree-pairs")
-    every = materialize(links.unionByName(verified(pairs, texts)), "all-links")
-    found = materialize(components(every), "components")
+    found = clusters(buckets, texts)
     by_set = materialize(sets.select("s1", "s2", "id").join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id")), "set-components")
     out = rows.join(by_set, ["s1", "s2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

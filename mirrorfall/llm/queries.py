@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import op6_decontam
 from .lines import op7_lines
 from .neardups import op10_neardups
+from .paragraphs import op1_paragraphs
 from .pieces import op5_sentencepiece
 from .quality import op8_quality
 from .sharding import op4_sharding
@@ -16,6 +17,7 @@ from .toxicity import op2_toxicity
 from .warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_paragraphs": op1_paragraphs,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
