@@ -11,6 +11,7 @@ from .lines import op7_lines
 from .neardups import op10_neardups
 from .paragraphs import op1_paragraphs
 from .pieces import op5_sentencepiece
+from .pii import op9_surrogates
 from .quality import op8_quality
 from .sharding import op4_sharding
 from .toxicity import op2_toxicity
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontam": op6_decontam,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
+    "op9_surrogates": op9_surrogates,
     "op10_neardups": op10_neardups,
 }
 
