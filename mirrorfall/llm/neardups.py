@@ -29,6 +29,8 @@ WORDS = 5
 PERCENT = 80
 #: Sets of a block in a bucket, and of a leaf in a tree; children of an inner node.
 BLOCK, LEAF, FAN = 1024, 16, 4
+#: Pairs of two components that are tried before all others, in buckets of more than FULL sets.
+BEST, FULL = 3, 32
 #: Bits of the smallest bitmap.
 LEAST_BITS = 512
 #: A shingle is common where tasks have seen it in more than this many texts; at most COMMON_SHINGLES of them, the most
@@ -331,8 +333,19 @@ def _buckets(sets: DataFrame) -> DataFrame:
     return materialize(rows.join(kept, "key").select("key", "id", "n", "c", "lead"), "buckets")
 
 
-def _tree_candidates(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, n, c, component) that the signature trees leave."""
+def _likeliest(a: np.ndarray, b: np.ndarray, classes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, best: int) -> np.ndarray:
+    """Of the pairs (a, b), the places of the `best` of any two classes by their common bits against their sizes."""
+    common = np.concatenate([np.bitwise_count(bits[a[k : k + 65536]] & bits[b[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 65536)])
+    low, high = np.minimum(classes[a], classes[b]), np.maximum(classes[a], classes[b])
+    order = np.lexsort((-common / (sizes[a] + sizes[b]), high, low))
+    low, high = low[order], high[order]
+    begins = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+    place = np.arange(len(order))
+    return order[place - np.maximum.accumulate(np.where(begins, place, 0)) < best]
+
+
+def _tree_candidates(rows: DataFrame, texts: DataFrame, best: int | None) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, n, c, component) that the signature trees leave; with `best`, the likeliest of them."""
     small = rows.where(F.col("c") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "n", "component")
     large = rows.where(F.col("c") > BLOCK)
     # Blocks of a large bucket hold sets of like size; a block's number follows from its sets' ranks among size steps, which
@@ -362,9 +375,13 @@ def _tree_candidates(rows: DataFrame, texts: DataFrame) -> DataFrame:
                 return None
             split = sum(r[0] == 0 for r in group)
             sizes, names, classes = (np.array([r[k] for r in group], np.int64) for k in (2, 1, 3))
-            a, b = tree_pairs(sizes, _stack([r[4] for r in group]), classes, split if split < len(group) else 0)
+            bits = _stack([r[4] for r in group])
+            a, b = tree_pairs(sizes, bits, classes, split if split < len(group) else 0)
             if not len(a):
                 return None
+            if best:
+                kept = _likeliest(a, b, classes, sizes, bits, best)
+                a, b = a[kept], b[kept]
             a, b = names[a], names[b]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=ids)
 
@@ -387,15 +404,21 @@ def _tree_candidates(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def clusters(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, component) of every id that a verified link reaches. `buckets` has key, id, n, c (sets in the bucket) and lead
     (its first set); `texts` has id, n, text, bits of every id in a bucket."""
-    stars = buckets.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(stars, texts)
-    joined = materialize(components(links), "first-components")
-    labelled = materialize(buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "bucket-components")
-    open_ = materialize(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "open-buckets")
-    tried = materialize(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tried-pairs")
-    pairs = materialize(_tree_candidates(labelled.join(open_, "key"), texts).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
-    every = materialize(links.unionByName(verified(pairs, texts)), "all-links")
-    return materialize(components(every), "components")
+    pairs = materialize(buckets.where("id != lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "star-pairs")
+    links, tried = verified(pairs, texts), pairs
+    # In large buckets a few of the likeliest pairs of any two components come first: if one of them matches, the others
+    # need no look. What is then still apart is compared in full.
+    for best in (BEST, None):
+        joined = materialize(components(links), "components")
+        labelled = materialize(buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "bucket-components")
+        open_ = materialize(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "open-buckets")
+        rows = labelled.join(open_, "key")
+        rows = rows.where(F.col("c") > FULL) if best else rows
+        pairs = materialize(_tree_candidates(rows, texts, best).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+        if not pairs.isEmpty():
+            links = materialize(links.unionByName(verified(pairs, texts)), "links")
+            tried = materialize(tried.unionByName(pairs), "tried-pairs")
+    return materialize(components(links), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
