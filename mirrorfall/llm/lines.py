@@ -49,33 +49,32 @@ def _need(n: Column, m: Column) -> Column:
 
 
 def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
-    """Every distinct line that has an earlier match, or is itself repeated: k1, k2, own (its first place), first (the earliest
-    place of the line and its matches).
+    """Every distinct line that is repeated or has an earlier match: k1, k2 (its key) and first, the least place of the line
+    and its matches.
 
     A place is the struct of `ids` and line_no; nulls in it come first. Words are compared as written, by 31-bit hashes.
     Each distinct line's word set is ordered by rarity. Two sets match only if their prefixes share a word; of pairs that
     share one, those stay whose lengths allow a match, whose words behind the shared one still suffice, and whose parity
     sketches (64 bits, each word flips one) differ in no more bits than the sets may differ in words. The rest are verified
-    on the whole sets.
+    on the whole sets. The sets are shuffled once, by line; prefixes and verification both read that shuffle.
     """
     levels = F.lit(rarity_levels(docs))
     level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string"))
     lines = numbered_lines(docs, ids)
     place = F.struct(*ids, "line_no")
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.hash(w).bitwiseAND(F.lit(0x7FFFFFFF))))
-    ranked = lines.select(*_line_key(), place.alias("own"), hashes.alias("h")).select(
-        "k1", "k2", "own",
-        # Rarer words first; equal levels in the order of the hashes.
-        F.sort_array(F.transform("h", lambda h: F.shiftleft(level(h).cast("long"), 32).bitwiseOR(h.cast("long")))).alias("codes"),
-    )
+    # Rarer words first; equal levels in the order of the hashes.
+    codes = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h).cast("long"), 32).bitwiseOR(h.cast("long"))))
+    words = F.transform(codes, lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    ranked = lines.select(*_line_key(), F.struct(place.alias("own"), words.alias("words")).alias("row"))
     # Copies meet here after each task has merged its own.
-    own = ranked.select("k1", "k2", F.struct("own", F.transform("codes", lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("words")).alias("row"))
-    distinct = materialize(own.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies")).select("k1", "k2", "row.own", "row.words", "copies"), "line-sets")
+    sets = ranked.groupBy("k1", "k2").agg(F.min("row").alias("row"))
 
-    n = F.size("words")
+    words = F.col("row.words")
+    n = F.size(words)
     prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1
-    sketch = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20).bitwiseAND(F.lit(63)))))
-    keys = distinct.select("k1", "k2", F.posexplode(F.slice("words", F.lit(1), prefix)).alias("pos", "word"), n.alias("n"), sketch.alias("sketch"))
+    flip = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20)))  # noqa: E731  a shift takes the low six bits
+    keys = sets.select("k1", "k2", F.posexplode(F.slice(words, F.lit(1), prefix)).alias("pos", "word"), n.alias("n"), F.aggregate(words, F.lit(0).cast("long"), flip).alias("sketch"))
     keys = keys.select("word", "k1", "k2", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -89,15 +88,18 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
         & ((an < bn) | (F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2"))))
     )
     pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).distinct()
-    left = distinct.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("own").alias("a_own"), F.col("words").alias("a_words"))
-    right = distinct.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("own").alias("b_own"), F.col("words").alias("b_words"))
+    left = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("row").alias("a"))
+    right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("row").alias("b"))
     both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-    shared = F.size(F.array_intersect("a_words", "b_words"))
-    matched = materialize(both.where(100 * shared >= PERCENT * (F.size("a_words") + F.size("b_words") - shared)).select("a1", "a2", "a_own", "b1", "b2", "b_own"), "line-matches")
-    later = matched.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("b_own").alias("other")).unionByName(matched.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.col("a_own").alias("other")))
-    first = later.groupBy("k1", "k2").agg(F.min("other").alias("other"))
-    out = distinct.select("k1", "k2", "own", "copies").join(first, ["k1", "k2"], "left")
-    return out.where((F.col("copies") > 1) | (F.col("other") < F.col("own"))).select("k1", "k2", "own", F.least(F.col("own"), F.col("other")).alias("first"))
+    shared = F.size(F.array_intersect("a.words", "b.words"))
+    matched = both.where(100 * shared >= PERCENT * (F.size("a.words") + F.size("b.words") - shared))
+    matched = materialize(matched.select("a1", "a2", F.col("a.own").alias("a_own"), "b1", "b2", F.col("b.own").alias("b_own")), "line-matches")
+    later = matched.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("a_own").alias("own"), F.col("b_own").alias("other")).unionByName(
+        matched.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.col("b_own").alias("own"), F.col("a_own").alias("other"))
+    )
+    similar = later.groupBy("k1", "k2").agg(F.least(F.min("own"), F.min("other")).alias("first"), F.lit(2).cast("long").alias("copies"))
+    repeated = lines.select(*_line_key(), place.alias("own")).groupBy("k1", "k2").agg(F.min("own").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    return similar.unionByName(repeated).groupBy("k1", "k2").agg(F.min("first").alias("first"))
 
 
 def judged_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
