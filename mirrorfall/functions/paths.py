@@ -17,7 +17,7 @@ MARKER = ".mirrorfall"
 
 def display(path: Column) -> Column:
     r"""Without the verbatim prefix: `\\?\UNC\server` as `\\server`, `\\?\C:` as `C:`."""
-    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\\\\\"), r"^\\\\\?\\", "")
+    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\"), r"^\\\\\?\\", "")
 
 
 def basename(path: Column) -> Column:
