@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import materialize
 
@@ -43,6 +44,10 @@ def _line_key() -> list[Column]:
     return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")]
 
 
+def place_type(docs: DataFrame, ids: list[str]) -> T.StructType:
+    return T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in ids], T.StructField("line_no", T.IntegerType())])
+
+
 def _need(n: Column, m: Column) -> Column:
     """The least overlap with which sets of n and m words match."""
     return F.call_function("div", PERCENT * (n + m) + F.lit(100 + PERCENT - 1), F.lit(100 + PERCENT))
@@ -74,72 +79,82 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     n = F.size(words)
     prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1
     flip = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20)))  # noqa: E731  a shift takes the low six bits
-    keys = sets.select("k1", "k2", F.posexplode(F.slice(words, F.lit(1), prefix)).alias("pos", "word"), n.alias("n"), F.aggregate(words, F.lit(0).cast("long"), flip).alias("sketch"))
-    keys = keys.select("word", "k1", "k2", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
+    at = [f"p{i}" for i in range(len(ids) + 1)]  # the place, field by field, names a set in what is dealt by words
+    keys = sets.select(F.col("row.own.*"), F.posexplode(F.slice(words, F.lit(1), prefix)).alias("pos", "word"), n.alias("n"), F.aggregate(words, F.lit(0).cast("long"), flip).alias("sketch"))
+    keys = keys.toDF(*at, "pos", "word", "n", "sketch").select("word", *at, F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
     pos_of = lambda x: F.shiftright(f"{x}.pn", 32)
+    place_of = lambda x: F.struct(*[F.col(f"{x}.{p}").alias(p) for p in at])
     an, bn, ap, bp = n_of("a"), n_of("b"), pos_of("a"), pos_of("b")
     need = _need(an, bn)
     close = (
         (an <= bn) & (100 * an >= PERCENT * bn)
         & (F.least(an - ap, bn - bp) >= need)
         & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= an + bn - 2 * need)
-        & ((an < bn) | (F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2"))))
+        & ((an < bn) | (place_of("a") < place_of("b")))
     )
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")).distinct()
-    left = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("row").alias("a"))
-    right = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("row").alias("b"))
-    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-    shared = F.size(F.array_intersect("a.words", "b.words"))
-    matched = both.where(100 * shared >= PERCENT * (F.size("a.words") + F.size("b.words") - shared))
-    matched = materialize(matched.select("a1", "a2", F.col("a.own").alias("a_own"), "b1", "b2", F.col("b.own").alias("b_own")), "line-matches")
-    later = matched.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("a_own").alias("own"), F.col("b_own").alias("other")).unionByName(
-        matched.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.col("b_own").alias("own"), F.col("a_own").alias("other"))
-    )
-    similar = later.groupBy("k1", "k2").agg(F.least(F.min("own"), F.min("other")).alias("first"), F.lit(2).cast("long").alias("copies"))
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & close)
+    pairs = met.select(F.least(place_of("a"), place_of("b")).alias("early"), F.greatest(place_of("a"), place_of("b")).alias("late")).distinct()
+
+    named = sets.select(F.struct(*[F.col(f"row.own.{c}").alias(p) for c, p in zip([*ids, "line_no"], at, strict=True)]).alias("place"), "k1", "k2")
+    side = lambda x: sets.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("row.words").alias(f"{x}_words"))
+
+    def verify(some: DataFrame) -> DataFrame:
+        keyed = some.join(named.toDF("early", "e1", "e2"), "early").join(named.toDF("late", "l1", "l2"), "late")
+        both = keyed.join(side("e"), ["e1", "e2"]).join(side("l"), ["l1", "l2"])
+        shared = F.size(F.array_intersect("e_words", "l_words"))
+        return both.where(100 * shared >= PERCENT * (F.size("e_words") + F.size("l_words") - shared)).select("late", "early", F.col("l1").alias("k1"), F.col("l2").alias("k2"))
+
+    # A line's earliest candidate is verified first; only the others of those that fail are verified at all.
+    nearest = pairs.groupBy("late").agg(F.min("early").alias("early"))
+    settled = verify(nearest)
+    rest = pairs.join(settled.select("late"), "late", "left_anti").join(nearest, ["late", "early"], "left_anti")
+    matched = settled.unionByName(verify(rest)).groupBy("k1", "k2").agg(F.min("early").alias("first"))
+    similar = materialize(matched.select("k1", "k2", F.col("first").cast(place_type(docs, ids)).alias("first"), F.lit(2).cast("long").alias("copies")), "line-matches")
     repeated = lines.select(*_line_key(), place.alias("own")).groupBy("k1", "k2").agg(F.min("own").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     return similar.unionByName(repeated).groupBy("k1", "k2").agg(F.min("first").alias("first"))
 
 
 def judged_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
-    """A row for each line with a word: `ids`, line_no, `first` (the place of its earliest match, else null) and `removed`.
+    """A row for each line with a word: `ids`, line_no, line_key, `first` (the place of its earliest match, else null), `removed`.
 
     A line is removed if it matches any earlier one, whether or not that one is kept. Rows that share all of `ids` have
     equal places and do not remove each other's equal lines. A null or empty text has no such line.
     """
     found = materialize(matching_lines(docs, ids), "line-verdicts")
     lines = numbered_lines(docs, ids).select(F.struct(*ids, "line_no").alias("place"), *_line_key())
-    out = lines.join(found, ["k1", "k2"], "left").select("place.*", F.when(F.col("first") < F.col("place"), F.col("first")).alias("first"))
+    out = lines.join(found, ["k1", "k2"], "left").select("place.*", F.col("k1").alias("line_key"), F.when(F.col("first") < F.col("place"), F.col("first")).alias("first"))
     return out.withColumn("removed", F.col("first").isNotNull())
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Documents without the lines that match an earlier one; a document all of whose lines with words go is dropped.
 
-    The order of lines is that of doc_id, text hash and line number. All columns stay; n_chars, where there is one, is the
-    new text's length. Rows without a word stay as they are.
+    The order of lines is that of doc_id and line number. All columns stay; n_chars, where there is one, is the new text's
+    length. Rows without a word stay as they are. Rows that repeat a doc_id are compared with other documents, not with
+    each other.
     """
-    mark = docs.withColumn("__hash", F.xxhash64("text"))
-    gone = judged_lines(mark, ["doc_id", "__hash"]).where("removed").groupBy("doc_id", "__hash").agg(F.collect_set("line_no").alias("__gone"))
-    return without_lines(mark, gone, docs.columns)
-
-
-def without_lines(mark: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """Documents (with __hash, their text's hash) without the lines of `gone` (doc_id, __hash, __gone: numbers of a text's lines)."""
-    gone = materialize(gone.withColumnsRenamed({"doc_id": "__id", "__hash": "__h"}), "line-removals")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    joined = mark.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__h")), "left")
-    cut = joined.withColumn("__lines", kept)
-    cut = cut.where(F.col("__gone").isNull() | F.exists("__lines", lambda x: x.rlike(_WORD)))
+    gone = judged_lines(docs, ["doc_id"]).where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line_key")).alias("__gone"))
+    return without_lines(docs, gone, ["doc_id"], lambda x, i: F.struct(i.alias("line_no"), F.xxhash64(x).alias("line_key")))
+
+
+def without_lines(docs: DataFrame, gone: DataFrame, keys: list[str], mark) -> DataFrame:
+    """Documents without the lines of which mark(line, number) is in the array __gone under their `keys`."""
+    gone = materialize(gone.withColumnsRenamed({c: f"__gone_{c}" for c in keys}), "line-removals")
+    on = F.lit(True)
+    for c in keys:
+        on = on & docs[c].eqNullSafe(gone[f"__gone_{c}"])
+    joined = docs.join(gone, on, "left").withColumn("__lines", F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", mark(x, i))))
+    cut = joined.where(F.col("__gone").isNull() | F.exists("__lines", lambda x: x.rlike(_WORD)))
     cut = cut.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__lines", "\n")))
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(mark.schema["n_chars"].dataType)))
-    return cut.select(*columns)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return cut.select(*docs.columns)
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of `documents` that has a word: doc_id, line_no, removed, first_doc_id and first_line_no of its earliest match."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("__hash", F.xxhash64("text"))
-    out = judged_lines(docs, ["doc_id", "__hash"])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = judged_lines(docs, ["doc_id"])
     return out.select("doc_id", "line_no", "removed", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))

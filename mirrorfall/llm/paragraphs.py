@@ -101,7 +101,7 @@ def clustered_paragraphs(docs: DataFrame) -> DataFrame:
 def dedup_paragraphs(docs: DataFrame) -> DataFrame:
     """Documents without the removed paragraphs; one that has no word left is dropped."""
     gone = clustered_paragraphs(docs).where("removed").groupBy("doc_id", F.col("text_hash").alias("__hash")).agg(F.collect_set("para_no").alias("__gone"))
-    return without_lines(docs.withColumn("__hash", F.xxhash64("text")), gone, docs.columns)
+    return without_lines(docs.withColumn("__hash", F.xxhash64("text")), gone, ["doc_id", "__hash"], lambda x, i: i).drop("__hash")
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
