@@ -6,7 +6,7 @@
    come last in that order, so passages that documents quote don't fill buckets. Of buckets with the same sets one stays.
 3. A set's signature is a bitmap of its shingles, of about two bits for each. A node of a signature tree holds the OR of its
    sets' bitmaps and the range of their sizes, and two nodes are parted where the overlap that they could have at most is
-   less than the least that a match needs. The first level is each bucket's first set against the others: it connects
+   less than the least that a match needs. The first level is one set of each bucket, that of most ties, against the others: it connects
    groups of near copies at the cost of one comparison a set, and leaves most buckets in one component.
 4. The other buckets' sets go to a tree for each bucket, traversed against itself for pairs of different components. Large
    buckets are cut into blocks by size; pairs of blocks are tested as nodes are before they are dealt to tasks.
@@ -328,9 +328,9 @@ def _buckets(sets: DataFrame) -> DataFrame:
     common = materialize(sets.select("id", "n", F.explode("common").alias("key")), "common-keys")
     counted = materialize(common.groupBy("key").count().where("count > 1").select("key"), "common-counts")
     rows = materialize(rare.unionByName(common.join(counted, "key").select("key", "id", "n")), "bucket-rows")
-    alike = rows.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(3), "id").cast("decimal(20,0)")).alias("h2"), F.min("id").alias("lead"))
-    kept = materialize(alike.groupBy("c", "h1", "h2").agg(F.min("key").alias("key"), F.first("lead").alias("lead")).select("key", "c", "lead"), "bucket-heads")
-    return materialize(rows.join(kept, "key").select("key", "id", "n", "c", "lead"), "buckets")
+    alike = rows.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(3), "id").cast("decimal(20,0)")).alias("h2"))
+    kept = materialize(alike.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")).select("key", "c"), "bucket-heads")
+    return materialize(rows.join(kept, "key").select("key", "id", "n", "c"), "buckets")
 
 
 def _likeliest(a: np.ndarray, b: np.ndarray, classes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, best: int) -> np.ndarray:
@@ -402,8 +402,12 @@ def _tree_candidates(rows: DataFrame, texts: DataFrame, best: int | None) -> Dat
 
 
 def clusters(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, component) of every id that a verified link reaches. `buckets` has key, id, n, c (sets in the bucket) and lead
-    (its first set); `texts` has id, n, text, bits of every id in a bucket."""
+    """(id, component) of every id that a verified link reaches. `buckets` has key, id, n and c (sets in the bucket);
+    `texts` has id, n, text, bits of every id in a bucket."""
+    # The set that shares most buckets with others leads its buckets: of edited copies, that is the text least edited.
+    weights = materialize(buckets.groupBy("id").agg(F.sum("c").alias("w")), "bucket-weights")
+    leads = materialize(buckets.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("w", "id")).alias("lead")), "bucket-leads")
+    buckets = materialize(buckets.select("key", "id", "n", "c").join(leads, "key"), "led-buckets")
     pairs = materialize(buckets.where("id != lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "star-pairs")
     links, tried = verified(pairs, texts), pairs
     # In large buckets a few of the likeliest pairs of any two components come first: if one of them matches, the others

@@ -82,10 +82,10 @@ def clustered_paragraphs(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "para_no")
     sets = materialize(rows.groupBy("s1").agg(F.min(F.struct(place.alias("own"), "n", "bands")).alias("x")).select(F.col("s1").alias("id"), "x.*"), "paragraph-sets")
     keys = sets.select("id", "n", F.explode("bands").alias("key"))
-    heads = materialize(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h")).where("c > 1"), "band-heads")
+    heads = materialize(keys.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(3), "id").cast("decimal(20,0)")).alias("h2")).where("c > 1"), "band-heads")
     # Of bands with the same sets one stays.
-    kept = materialize(heads.groupBy("c", "lead", "h").agg(F.min("key").alias("key")).select("key", "c", "lead"), "bands")
-    buckets = materialize(keys.join(kept, "key").select("key", "id", "n", "c", "lead"), "band-rows")
+    kept = materialize(heads.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")).select("key", "c"), "bands")
+    buckets = materialize(keys.join(kept, "key").select("key", "id", "n", "c"), "band-rows")
     wanted = materialize(buckets.select("id").distinct().join(sets.select("id", "n", "own"), "id").select("id", "n", "own.*"), "wanted-paragraphs")
     lines = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("para_no", "text")).where(F.length("text") >= 2 * MIN_WORDS - 1)
     found = lines.join(wanted, ["doc_id", "text_hash", "para_no"])
