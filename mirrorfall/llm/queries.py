@@ -50,6 +50,15 @@ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE
     "op4_sharding": f"""WITH {_CRC}, p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32 ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before, sum(size) OVER ()::BIGINT AS total FROM summed),
 q AS (SELECT *, least(23, (2 * before + size) * 24 // (2 * total))::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32)::BIGINT - 1 AS slot, NULL::INT AS grown_shard FROM q""",
+    "op7_lines": f"""WITH a AS (SELECT doc_id, string_split({_EMPTY}, chr(10)) AS ls FROM documents), k AS (SELECT *, unnest(range(len(ls))) AS k FROM a),
+every AS (SELECT doc_id, k::INT AS line_no, list_distinct(regexp_extract_all(ls[k + 1], '[^\\x20\\x09-\\x0D]+')) AS ws FROM k),
+ln AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS r FROM every WHERE len(ws) > 0),
+t AS (SELECT r, len(ws) AS n, unnest(ws) AS w FROM ln), f AS (SELECT w, count(*) AS c FROM t GROUP BY w), o AS (SELECT r, n, w, row_number() OVER (PARTITION BY r ORDER BY c, w) AS p FROM t JOIN f USING (w)),
+pre AS (SELECT r, n, w FROM o WHERE p <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.r AS e, b.r AS l FROM pre a JOIN pre b ON a.w = b.w AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+i AS (SELECT e, l, len(list_intersect(x.ws, y.ws)) AS i, len(x.ws) + len(y.ws) AS n FROM c JOIN ln x ON x.r = e JOIN ln y ON y.r = l),
+m AS (SELECT l, min(e) AS e FROM i WHERE 100 * i >= 80 * (n - i) GROUP BY l)
+SELECT y.doc_id, y.line_no, m.e IS NOT NULL AS removed, x.doc_id AS first_doc_id, x.line_no AS first_line_no FROM ln y LEFT JOIN m ON m.l = y.r LEFT JOIN ln x ON x.r = m.e""",
     "op10_neardups": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate({_EMPTY}, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
 e AS (SELECT doc_id, unnest(sh) AS x FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
