@@ -9,14 +9,14 @@ there probe the sorted piece keys, the admissible candidate of greatest length i
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import os
-import tempfile
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import map_text, mix, powers, prefix_hashes, ship, sorted_unique
@@ -34,10 +34,8 @@ _FAR = np.iinfo(np.int64).max
 class Pieces:
     """A vocabulary's arrays: piece keys in order, merge ranks, spines of the merge trees, and bytes for decoding."""
 
-    def __init__(self, path: str = MODEL_PATH) -> None:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, data: bytes) -> None:
+        model = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.size = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(self.size)]
         self.byte_ids = np.full(256, -1, np.int64)
@@ -341,25 +339,30 @@ _loaded: dict[str, Pieces] = {}
 
 
 def load(path: str = MODEL_PATH) -> Pieces:
-    """The vocabulary, loaded once in each process."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    """The vocabulary in this process."""
+    return _from_bytes(Path(path).read_bytes())
+
+
+def _from_bytes(data: bytes) -> Pieces:
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _loaded:
+        _loaded[key] = Pieces(data)
+    return _loaded[key]
 
 
 def encode(docs: DataFrame, keep: list[str] | None = None, path: str = MODEL_PATH, text: str = "text") -> DataFrame:
     """Adds `ids` (array<int>), `n_tokens` and `round_trip`: whether decoding the ids gives the text back.
 
     A null text has null ids, no tokens and a null round trip; an empty text has an empty list. A text with the blank mark
-    U+2581 decodes to one with spaces in its place, so its round_trip is false. The vocabulary (a few MB at most) is sent to
-    the executors as a file of the application.
+    U+2581 decodes to one with spaces in its place, so its round_trip is false. The vocabulary (a few MB at most) is
+    broadcast.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((os.path.basename(path), Path(path).read_bytes()))
+    shared = spark.sparkContext.broadcast(Path(path).read_bytes())
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        pieces = _from_bytes(*shared.value)
+        pieces = _from_bytes(shared.value)
         texts = column.to_pylist()
         ids, counts = pieces.encode(texts)
         back = pieces.decode(ids, counts)
@@ -373,16 +376,6 @@ def encode(docs: DataFrame, keep: list[str] | None = None, path: str = MODEL_PAT
     return map_text(docs, text, "ids array<int>, n_tokens long, round_trip boolean", compute, keep)
 
 
-def _from_bytes(name: str, data: bytes) -> Pieces:
-    key = f"{name}:{len(data)}"
-    if key not in _loaded:
-        with tempfile.NamedTemporaryFile(suffix=name) as file:
-            file.write(data)
-            file.flush()
-            _loaded[key] = Pieces(file.name)
-    return _loaded[key]
-
-
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids: doc_id, n_tokens, ids, round_trip."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
