@@ -144,6 +144,39 @@ def test_paragraphs_equal_brute_force(spark, corpus):
     assert found == {every[k][0]: every[r][0] for k, r in enumerate(roots) if sizes[r] > 1}
 
 
+def rebroken(rng, text, every):
+    words = text.split()
+    return "".join(w + ("\n" if k % every == every - 1 else " ") for k, w in enumerate(words)).strip()
+
+
+def test_passages_inside_across_and_rebroken_over_lines(spark):
+    rng = random.Random(21)
+    shared = [prose(rng, n) for n in (50, 54, 72, 49, 60)]
+    texts = [prose(rng, 30) + " " + s + " " + prose(rng, 40) for s in shared]
+    texts.append(prose(rng, 70) + " " + shared[0].upper() + " " + prose(rng, 90))  # inside a longer line
+    texts.append(prose(rng, 25) + "\n" + prose(rng, 7) + " " + shared[1].replace(" ", "\n", 1) + "\n" + prose(rng, 30))  # across lines
+    texts.append(prose(rng, 30) + "\n" + rebroken(rng, shared[2], 9) + " " + prose(rng, 25))
+    texts.append(prose(rng, 60) + " " + shared[3] + " " + prose(rng, 30))  # a word too short
+    texts += [rebroken(rng, shared[4], 11), texts[6], None, "", "word " * 130]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    found = repeated = collections.defaultdict(set)
+    for r in paragraphs.repeated_passages(frame(spark, rows)).collect():
+        repeated[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+        a, b = words_of(texts[r.doc_id].lower()), words_of(texts[r["first"].doc_id].lower())
+        assert r.n_words >= 50 and a[r.first_word : r.first_word + r.n_words] == b[r["first"].first_word : r["first"].first_word + r.n_words]
+        assert r.para_no == len(re.match(r"\s*(?:\S+\s+){%d}" % r.first_word, texts[r.doc_id])[0].split("\n")) - 1
+    first, want = {}, collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        w = words_of((t or "").lower())
+        for k in range(len(w) - 49):
+            d, at = first.setdefault(tuple(w[k : k + 50]), (i, k))
+            if d != i or k - at >= 50:
+                want[i] |= set(range(k, k + 50))
+    assert found == want and set(want) == {5, 6, 7, 9, 10, 13}
+    left = {r.doc_id: (words_of(r.text), r.n_chars == (None if r.text is None else len(r.text))) for r in paragraphs.dedup_paragraphs(frame(spark, rows)).collect()}
+    assert left == {i: ([w for k, w in enumerate(words_of(t)) if k not in want[i]], True) for i, t in enumerate(texts) if i not in (9, 10)}
+
+
 def test_sharding(spark, sf_dir):
     rows = sorted(QUERIES["op4_sharding"](spark, sf_dir).collect(), key=lambda r: r.doc_id)
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
