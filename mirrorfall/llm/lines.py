@@ -79,39 +79,41 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     n = F.size(words)
     prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1
     flip = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20)))  # noqa: E731  a shift takes the low six bits
-    at = [f"p{i}" for i in range(len(ids) + 1)]  # the place, field by field, names a set in what is dealt by words
-    keys = sets.select(F.col("row.own.*"), F.posexplode(F.slice(words, F.lit(1), prefix)).alias("pos", "word"), n.alias("n"), F.aggregate(words, F.lit(0).cast("long"), flip).alias("sketch"))
-    keys = keys.toDF(*at, "pos", "word", "n", "sketch").select("word", *at, F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
+    # A set is named by k1 in what is dealt by words; places and whole keys are joined to the pairs.
+    keys = sets.select(F.posexplode(F.slice(words, F.lit(1), prefix)).alias("pos", "word"), "k1", n.alias("n"), F.aggregate(words, F.lit(0).cast("long"), flip).alias("sketch"))
+    keys = keys.select("word", "k1", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
     pos_of = lambda x: F.shiftright(f"{x}.pn", 32)
-    place_of = lambda x: F.struct(*[F.col(f"{x}.{p}").alias(p) for p in at])
     an, bn, ap, bp = n_of("a"), n_of("b"), pos_of("a"), pos_of("b")
     need = _need(an, bn)
     close = (
         (an <= bn) & (100 * an >= PERCENT * bn)
         & (F.least(an - ap, bn - bp) >= need)
         & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= an + bn - 2 * need)
-        & ((an < bn) | (place_of("a") < place_of("b")))
+        & ((an < bn) | (F.col("a.k1") < F.col("b.k1")))
     )
     met = a.join(b, (F.col("a.word") == F.col("b.word")) & close)
-    pairs = met.select(F.least(place_of("a"), place_of("b")).alias("early"), F.greatest(place_of("a"), place_of("b")).alias("late")).distinct()
+    pairs = met.select(F.least("a.k1", "b.k1").alias("a1"), F.greatest("a.k1", "b.k1").alias("b1")).distinct()
 
-    named = sets.select(F.struct(*[F.col(f"row.own.{c}").alias(p) for c, p in zip([*ids, "line_no"], at, strict=True)]).alias("place"), "k1", "k2")
+    # Several lines can have one place, where rows share an id: candidates are told apart by line keys throughout.
+    named = sets.select("k1", F.struct(F.col("row.own").alias("place"), "k1", "k2").alias("x"))
+    met = pairs.join(named.toDF("a1", "a"), "a1").join(named.toDF("b1", "b"), "b1").where(F.col("a.place") != F.col("b.place"))
+    late, early = F.greatest("a", "b"), F.least("a", "b")
+    found = met.select(late["k1"].alias("l1"), late["k2"].alias("l2"), early["place"].alias("early"), early["k1"].alias("e1"), early["k2"].alias("e2"))
     side = lambda x: sets.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("row.words").alias(f"{x}_words"))
 
     def verify(some: DataFrame) -> DataFrame:
-        keyed = some.join(named.toDF("early", "e1", "e2"), "early").join(named.toDF("late", "l1", "l2"), "late")
-        both = keyed.join(side("e"), ["e1", "e2"]).join(side("l"), ["l1", "l2"])
+        both = some.join(side("e"), ["e1", "e2"]).join(side("l"), ["l1", "l2"])
         shared = F.size(F.array_intersect("e_words", "l_words"))
-        return both.where(100 * shared >= PERCENT * (F.size("e_words") + F.size("l_words") - shared)).select("late", "early", F.col("l1").alias("k1"), F.col("l2").alias("k2"))
+        return both.where(100 * shared >= PERCENT * (F.size("e_words") + F.size("l_words") - shared)).select("l1", "l2", "early")
 
     # A line's earliest candidate is verified first; only the others of those that fail are verified at all.
-    nearest = pairs.groupBy("late").agg(F.min("early").alias("early"))
+    nearest = found.groupBy("l1", "l2").agg(F.min(F.struct("early", "e1", "e2")).alias("x")).select("l1", "l2", "x.*")
     settled = verify(nearest)
-    rest = pairs.join(settled.select("late"), "late", "left_anti").join(nearest, ["late", "early"], "left_anti")
-    matched = settled.unionByName(verify(rest)).groupBy("k1", "k2").agg(F.min("early").alias("first"))
-    similar = materialize(matched.select("k1", "k2", F.col("first").cast(place_type(docs, ids)).alias("first"), F.lit(2).cast("long").alias("copies")), "line-matches")
+    rest = found.join(settled.select("l1", "l2"), ["l1", "l2"], "left_anti").join(nearest.select("l1", "l2", "e1", "e2"), ["l1", "l2", "e1", "e2"], "left_anti")
+    matched = settled.unionByName(verify(rest)).groupBy("l1", "l2").agg(F.min("early").alias("first"))
+    similar = materialize(matched.select(F.col("l1").alias("k1"), F.col("l2").alias("k2"), F.col("first").cast(place_type(docs, ids)).alias("first"), F.lit(2).cast("long").alias("copies")), "line-matches")
     repeated = lines.select(*_line_key(), place.alias("own")).groupBy("k1", "k2").agg(F.min("own").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     return similar.unionByName(repeated).groupBy("k1", "k2").agg(F.min("first").alias("first"))
 

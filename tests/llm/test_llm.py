@@ -136,6 +136,20 @@ def test_lines_equal_brute_force(spark, corpus):
     assert found == want
 
 
+@pytest.mark.parametrize("low", [7, None])
+def test_lines_of_texts_under_one_id(spark, low):
+    rng = random.Random(31)
+    x, y, z = (prose(rng, 30) for _ in range(3))
+    near = lambda t: edited(rng, t, 1)
+    rows = [(1, x), (2, y), (low, near(x)), (low, near(y)), (low, z), (low, prose(rng, 9) + "\n" + near(z)), (low, prose(rng, 9) + "\n" + near(x))]
+    rows += [(9, near(t)) for t in (y, z, x)] + [(low, prose(rng, 8) + "\n\n" + near(y))]
+    every = [((-1 if i is None else i, k), frozenset(words_of(v))) for i, t in rows for k, v in enumerate(t.split("\n")) if words_of(v)]
+    want = collections.Counter((p, min((q for q, v in every if q < p and 100 * len(v & w) >= 80 * len(v | w)), default=None)) for p, w in every)
+    place = lambda i, k: (-1 if i is None else i, k)
+    out = lines.judged_lines(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+    assert collections.Counter((place(r.doc_id, r.line_no), r["first"] and place(*r["first"])) for r in out) == want
+
+
 def test_paragraphs_equal_brute_force(spark, corpus):
     found = {(r.doc_id, r.para_no): (r.cluster.doc_id, r.cluster.para_no) for r in paragraphs.clustered_paragraphs(frame(spark, corpus)).collect()}
     every = [((i, k), shingles(x)) for i, t, *_ in corpus for k, x in enumerate((t or "").split("\n")) if len(words_of(x)) >= paragraphs.MIN_WORDS]
