@@ -23,10 +23,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the least id; of rows that repeat an id and text, one."""
-    found = materialize(neardups.near_duplicates(docs), "stage-components")
-    others = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("__id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates one row stays, that of the least id; null ids come last, then the text hash decides.
+
+    Texts are compared, not ids, so rows that share an id or have none are near duplicates like any others. Texts without
+    words are no duplicates; of rows that repeat an id and text, one stays.
+    """
+    marked = docs.withColumn("__hash", F.xxhash64("text"))
+    found = neardups.near_duplicates(marked.select(F.col("__hash").alias("doc_id"), "text")).where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    owners = marked.groupBy("__hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__hash").alias("of"))).alias("own"))
+    kept = owners.join(found, F.col("__hash") == found["doc_id"]).groupBy("component").agg(F.min("own").alias("own"))
+    kept = materialize(kept.select(F.col("own.id").alias("__id"), F.col("own.of").alias("__of")), "stage-kept")
+    joined = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__hash"] == kept["__of"]), "left")
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return joined.where(F.col("__of").isNotNull() | wordless).select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

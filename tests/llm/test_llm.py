@@ -360,6 +360,16 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in final} == set(left) and all(r.round_trip for r in final if r.round_trip is not None)
 
 
+def test_near_duplicates_under_one_id_or_none(spark):
+    rng = random.Random(41)
+    x, y = prose(rng, 80), prose(rng, 80)
+    rows = [(None, edited(rng, x, 1)), (4, edited(rng, x, 1)), (4, x), (5, x), (None, y), (None, edited(rng, y, 1)), (None, y), (6, ""), (7, ""), (8, None), (8, None), (9, prose(rng, 40))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted((i for i, _ in out), key=str) == [4, 6, 7, 8, 9, None]
+    assert all(pair in rows for pair in out)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neardups.near_duplicates(empty).count() == 0
