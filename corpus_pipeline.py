@@ -12,8 +12,11 @@ from mirrorfall.llm._shared import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below one half. The model is fitted on the given documents' labels."""
+    """Documents with a toxicity score below one half. The model is fitted on the given documents' labels; where none is
+    usable, there is no model and all documents stay."""
     model = toxicity.fitted(spark, docs, sf_dir)
+    if not len(model[0]) and not model[2]:
+        return docs
     return toxicity.score(docs, model, name="__score").where(F.col("__score") < 0.5).drop("__score")
 
 

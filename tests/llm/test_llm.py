@@ -370,6 +370,13 @@ def test_near_duplicates_under_one_id_or_none(spark):
     assert all(pair in rows for pair in out)
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 1, None), (2, 1, None)], [(k, 1, k % 2) for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 0]])
+def test_documents_stay_without_a_model(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(k, prose(random.Random(k), 20), "en", "s", 0) for k in range(40)], SCHEMA)
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 40
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neardups.near_duplicates(empty).count() == 0
