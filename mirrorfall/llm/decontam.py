@@ -14,8 +14,10 @@ from ._shared import map_text
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.06
-#: An item with fewer characters matches a text that equals it as a whole, and nothing else.
+#: An item with fewer characters matches only where it stands word for word.
 MIN_CHARS = 32
+#: An item with fewer characters than this matches a text that equals it as a whole, and nothing else.
+WHOLE_CHARS = 10
 #: Most items and most characters of them that are sent to the executors at once; a larger benchmark is searched in blocks.
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16 << 20
 _HITS = "hits array<struct<item_id:long,distance:int,budget:int,end:int>>"
@@ -74,14 +76,14 @@ class Matcher:
         self.items, self.whole = [], {}
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if len(text) < MIN_CHARS:
+            if len(text) < WHOLE_CHARS:
                 if text:
                     self.whole.setdefault(text, []).append(item_id)
                 continue
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
-            errors = budget(len(text))
+            errors = budget(len(text)) if len(text) >= MIN_CHARS else 0
             for place, piece in pieces(text, errors):
                 found.setdefault(piece, []).append((len(self.items), place))
             self.items.append((item_id, text, errors, masks))
@@ -109,9 +111,11 @@ class Matcher:
         for k, spans in windows.items():
             item_id, item, errors, masks = self.items[k]
             best, end = errors + 1, 0
-            at = text.find(item)
+            at = text.find(item) if len(item) >= MIN_CHARS else f" {text} ".find(f" {item} ")
             if at >= 0:
                 best, end = 0, at + len(item)
+            elif len(item) < MIN_CHARS:
+                continue
             else:
                 for a, b in _joined(spans):
                     got, stop = best_match(masks, len(item), text[max(a, 0) : b])

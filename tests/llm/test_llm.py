@@ -276,6 +276,13 @@ def test_decontamination(spark):
     assert decontam.match(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_decontamination_finds_short_items_at_word_boundaries(spark):
+    items = [(1, "What is the sum?"), (2, "art of war")]
+    rows = [(1, "Tell me: what is the SUM, please"), (2, "what is the summary"), (3, "cart of war"), (4, "a cart of war, the art of war"), (5, "what was the sum")]
+    out = decontam.match(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in out.collect()} == {1: [1], 2: [], 3: [], 4: [2], 5: []}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
     rng = random.Random(7)
