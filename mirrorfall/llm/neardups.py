@@ -9,7 +9,8 @@
    less than the least that a match needs. The first level is one set of each bucket, that of most ties, against the others: it connects
    groups of near copies at the cost of one comparison a set, and leaves most buckets in one component.
 4. The other buckets' sets go to a tree for each bucket, traversed against itself for pairs of different components. Large
-   buckets are cut into blocks by size; pairs of blocks are tested as nodes are before they are dealt to tasks.
+   buckets are cut into blocks by size; pairs of blocks whose ranges of sizes allow a match are dealt to tasks, about
+   N * N / BLOCK rows for N sets of like size, and tested as nodes there.
 5. Surviving pairs are verified on the whole sets, and components take the least document id over all links.
 """
 
