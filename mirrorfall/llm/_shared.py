@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -15,27 +17,36 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_TEXT_SLICE_BYTES = 4 << 20
-_CALL_BYTES = 6 << 20
+_TEXT_SLICE_BYTES = 1 << 20
+_CALL_BYTES = 3 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
+_collected = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset.
+
+    Where it is unset, a local session gets a temporary folder and a cluster a folder in its warehouse.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="mirrorfall-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        path = tempfile.mkdtemp(prefix="mirrorfall-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/mirrorfall-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
     try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     except Exception:  # the session has ended, and with it the means to reach the folder
         pass
 
@@ -43,7 +54,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/mirrorfall-{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_drop, spark, path)
+    atexit.register(_drop_at_exit, spark, path)
     return path
 
 
@@ -52,7 +63,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing will read again, and lets Spark's cleaner free the shuffles of the jobs
+    that are done: it does so when the driver has collected the plans that held them, here every few seconds."""
+    global _collected
+    for table in tables:
+        _delete(table.sparkSession, table._scratch)
+    if tables and time.monotonic() - _collected > 3:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+
+
+def give_back() -> None:
+    """Hands memory that this Python worker has freed back to the system: the worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another allocator
+        pass
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, or with underscores in front where `taken` has it (in any case)."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name = f"_{name}"
+    return name
 
 
 _shipped: set[str] = set()
@@ -175,21 +216,23 @@ def map_text(df: DataFrame, text: str, added: str, compute, keep: list[str] | No
     """Rows of df (its columns `keep`, all by default) with the columns of the DDL string `added` behind them.
 
     compute(column) takes an Arrow string column and gives the list of added Arrow columns. It runs on executors, on at
-    most `rows` rows and about _CALL_BYTES of text at once; name clashes are the caller's to avoid.
+    most `rows` rows and about _CALL_BYTES of text at once. A column of df that has the name of an added one gives way to it.
     """
     ship(df.sparkSession)
-    keep = df.columns if keep is None else keep
     new = df.sparkSession.createDataFrame([], added).schema
-    taken = [c for c in keep if c != text] + [text]
+    made = {f.name.lower() for f in new}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
+    source = fresh("__text", keep)
     schema = df.select(*keep).schema
     for field in new:
         schema = schema.add(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end in _cuts(batch.column(batch.schema.get_field_index(text)), rows):
+            for at, end in _cuts(batch.column(len(keep)), rows):
                 part = batch.slice(at, end - at)
-                columns = [part.column(part.schema.get_field_index(c)) for c in keep] + compute(part.column(part.schema.get_field_index(text)))
+                columns = [part.column(i) for i in range(len(keep))] + compute(part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        give_back()
 
-    return df.select(*taken).mapInArrow(run, schema)
+    return df.select(*keep, df[text].alias(source)).mapInArrow(run, schema)

@@ -4,13 +4,16 @@
 2. Sets are dealt into buckets by the shingles of their prefixes: of two sets with a Jaccard similarity of at least 80
    percent, the first n - ceil(0.8 n) + 1 shingles, in any order common to all, share one. Shingles that many texts share
    come last in that order, so passages that documents quote don't fill buckets. Of buckets with the same sets one stays.
-3. A set's signature is a bitmap of its shingles, of about two bits for each. A node of a signature tree holds the OR of its
-   sets' bitmaps and the range of their sizes, and two nodes are parted where the overlap that they could have at most is
-   less than the least that a match needs. The first level is one set of each bucket, that of most ties, against the others: it connects
-   groups of near copies at the cost of one comparison a set, and leaves most buckets in one component.
+3. A set's signature is a bitmap of its shingles, of about eight bits for each. A node of a signature tree holds the OR of
+   its sets' bitmaps (folded to two bits a shingle) and the range of their sizes, and two nodes are parted where the overlap
+   that they could have at most is less than the least that a match needs. The first level is one set of each bucket, that of
+   most ties, against the others: it connects groups of near copies at the cost of one comparison a set, and leaves most
+   buckets in one component.
 4. The other buckets' sets go to a tree for each bucket, traversed against itself for pairs of different components. Large
    buckets are cut into blocks by size; pairs of blocks whose ranges of sizes allow a match are dealt to tasks, about
-   N * N / BLOCK rows for N sets of like size, and tested as nodes there.
+   N * N / BLOCK rows for N sets of like size, and tested as nodes there. A first traversal tells of each bucket only pairs
+   that would connect its components (a spanning forest, likeliest pairs first), a number in proportion to its sets. What
+   they leave apart is told in full by a second one; these are pairs that miss a match by a shingle or two.
 5. Surviving pairs are verified on the whole sets, and components take the least document id over all links.
 """
 
@@ -24,16 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import ASCII_LOWER, NOT_BLANK, map_text, materialize, mix, ship, span_hashes, utf8_parts, word_spans
+from ._shared import ASCII_LOWER, NOT_BLANK, drop, give_back, map_text, materialize, mix, ship, span_hashes, utf8_parts, word_spans
 
 WORDS = 5
 PERCENT = 80
 #: Sets of a block in a bucket, and of a leaf in a tree; children of an inner node.
 BLOCK, LEAF, FAN = 1024, 16, 4
-#: Pairs of two components that are tried before all others, in buckets of more than FULL sets.
-BEST, FULL = 3, 32
-#: Bits of the smallest bitmap.
-LEAST_BITS = 512
+#: Bits of the smallest bitmap, bits for each shingle, and how many bitmaps of inner nodes fit into a set's.
+LEAST_BITS, SHINGLE_BITS, NARROWER = 512, 8, 4
+#: Pairs of one hub that are verified in a task.
+HUB_PAIRS = 1024
 #: A shingle is common where tasks have seen it in more than this many texts; at most COMMON_SHINGLES of them, the most
 #: frequent, come last in the prefix order. Both only move work: any order gives the same links.
 COMMON_TEXTS, COMMON_SHINGLES = 24, 1 << 20
@@ -53,7 +56,7 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         long_rows = counts >= WORDS
         n = len(words)
         acc = np.zeros(n, np.uint64)
-        for k in range(WORDS):
+        for k in range(WORDS if n >= WORDS else 0):
             acc[: n - k] = acc[: n - k] * np.uint64(0x9E3779B97F4A7C15) + words[k:]
         begin = np.cumsum(counts) - counts
         place = np.arange(n) - begin[rows]
@@ -103,6 +106,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                     yield told()
         if sum(map(len, held)):
             yield told()
+        give_back()
 
     seen = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = seen.where(F.col("n") > COMMON_TEXTS).orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).select("shingle")
@@ -144,16 +148,20 @@ def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
 
 
 def signed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Adds s1 (as keyed does) and bits, the set's bitmap: a power of two of bits, at least two for each shingle."""
+    """Adds s1 and s2 (as keyed does) and two bitmaps, powers of two of bits: `bits`, at least SHINGLE_BITS for each shingle,
+    and `thin`, the same in NARROWER times fewer."""
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        one, bits = [], []
+        one, two, bits, thin = [], [], [], []
         for _, _, bounds, hashes in shingle_sets(column):
             one.append(_identity(bounds, hashes, 0x9FB21C651E98DF25))
-            bits += [_bitmap(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return [pa.array(np.concatenate(one)), pa.array(bits, pa.binary())]
+            two.append(_identity(bounds, hashes, 0xD6E8FEB86659FD93))
+            wide = [_bitmap(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            bits += [x.tobytes() for x in wide]
+            thin += [_fold(x, _narrow(len(x))).tobytes() for x in wide]
+        return [pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), pa.array(bits, pa.binary()), pa.array(thin, pa.binary())]
 
-    return map_text(docs, "text", "s1 long, bits binary", compute, keep)
+    return map_text(docs, "text", "s1 long, s2 long, bits binary, thin binary", compute, keep)
 
 
 def _matches(a: np.ndarray, b: np.ndarray) -> bool:
@@ -170,7 +178,7 @@ def _one_set(text: str | None) -> np.ndarray:
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    width = max(LEAST_BITS, 1 << int(2 * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
+    width = max(LEAST_BITS, 1 << int(SHINGLE_BITS * len(hashes) - 1).bit_length()) if len(hashes) else LEAST_BITS
     bits = np.zeros(width, np.uint8)
     bits[(hashes >> np.uint64(20)).astype(np.int64) & (width - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -181,6 +189,11 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
 
 
+def _narrow(words: int) -> int:
+    """64-bit words of an inner node's bitmap over sets whose bitmaps have `words`."""
+    return max(LEAST_BITS // 64, words // NARROWER)
+
+
 def need(n, m):
     """The least overlap with which sets of n and m shingles match."""
     return (PERCENT * (n + m) + 99 + PERCENT) // (100 + PERCENT)
@@ -218,15 +231,23 @@ def signature_tree(sizes: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray
     return levels
 
 
+def _near(sizes: np.ndarray, bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the pairs of sets (x, y), those that may match by their own bitmaps."""
+    nodes = _node(sizes, bits, np.arange(len(sizes)))
+    return np.concatenate([np.zeros(0, bool), *(may_match(tuple(v[x[a : a + 65536]] for v in nodes), tuple(v[y[a : a + 65536]] for v in nodes)) for a in range(0, len(x), 65536))])
+
+
 def tree_pairs(sizes: np.ndarray, bits: np.ndarray, classes: np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of different classes that may match, by dual traversal from the roots.
 
     With `split`, pairs of a set below it and one from it on, else of any two. Sets should come in the order of their sizes.
+    The trees hold folded bitmaps; pairs of leaves are tested by the whole ones too.
     """
+    thin = _fold(bits, _narrow(bits.shape[1]))
     if split:
-        one, two = signature_tree(sizes[:split], bits[:split]), signature_tree(sizes[split:], bits[split:])
+        one, two = signature_tree(sizes[:split], thin[:split]), signature_tree(sizes[split:], thin[split:])
     else:
-        one = two = signature_tree(sizes, bits)
+        one = two = signature_tree(sizes, thin)
     d, e = len(one) - 1, len(two) - 1
     x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while len(x):
@@ -242,8 +263,11 @@ def tree_pairs(sizes: np.ndarray, bits: np.ndarray, classes: np.ndarray, split:
         d, e = d - down_x, e - down_y
         if one is two:
             x, y = x[x <= y], y[x <= y]
-    keep = classes[x] != classes[y + split]
-    return x[keep], y[keep] + split
+    y = y + split
+    keep = classes[x] != classes[y]
+    x, y = x[keep], y[keep]
+    keep = _near(sizes, bits, x, y)
+    return x[keep], y[keep]
 
 
 def _descend(x: np.ndarray, y: np.ndarray, fan: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,19 +276,64 @@ def _descend(x: np.ndarray, y: np.ndarray, fan: int, count: int) -> tuple[np.nda
     return children[children < count], np.repeat(y, fan)[children < count]
 
 
-def _stack(bits: list[bytes]) -> np.ndarray:
-    """Bitmaps in one matrix, folded to the narrowest."""
-    rows = [np.frombuffer(b, np.uint64) for b in bits]
-    words = min(map(len, rows))
+def _matrix(rows: list[np.ndarray], words: int) -> np.ndarray:
+    """Bitmaps in one matrix, folded to `words`."""
     return np.stack([_fold(r, words) if len(r) > words else r for r in rows])
 
 
+def bucket_pairs(sizes: np.ndarray, sides: np.ndarray, classes: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of different classes that may match, and their estimated likeness; where there are two sides, of
+    one set of either. Bitmaps are compared at one width: those of matching sets have the same or the next."""
+    rows = [np.frombuffer(b, np.uint64) for b in bits]
+    width = np.array([len(r) for r in rows])
+    found: list[tuple[np.ndarray, ...]] = []
+    two = len(np.unique(sides)) > 1
+    for words in np.unique(width):
+        same, next_ = (np.flatnonzero(width == w) for w in (words, 2 * words))
+        meetings = [(same, None), (same, next_)]
+        if two:
+            meetings = [(x[sides[x] == s], y[sides[y] != s]) for x, y, s in ((same, same, 0), (same, next_, 0), (same, next_, 1))]
+        for x, y in meetings:
+            if not len(x) or (y is not None and not len(y)) or len(np.unique(classes[x if y is None else np.concatenate([x, y])])) < 2:
+                continue
+            at = x if y is None else np.concatenate([x, y])
+            own = _matrix([rows[k] for k in at], int(words))
+            a, b = tree_pairs(sizes[at], own, classes[at], 0 if y is None else len(x))
+            common = np.concatenate([np.zeros(0), *(np.bitwise_count(own[a[k : k + 65536]] & own[b[k : k + 65536]]).sum(axis=1) for k in range(0, len(a), 65536))])
+            found.append((at[a], at[b], common / (sizes[at[a]] + sizes[at[b]])))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def forest(a: np.ndarray, b: np.ndarray, classes: np.ndarray, likeness: np.ndarray) -> np.ndarray:
+    """Places of the pairs of a spanning forest over classes, likeliest pairs first."""
+    low, high = np.minimum(classes[a], classes[b]), np.maximum(classes[a], classes[b])
+    order = np.lexsort((-likeness, high, low))
+    order = order[np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))] if len(order) else order
+    order = order[np.argsort(-likeness[order], kind="stable")]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for k, x, y in zip(order.tolist(), low[order].tolist(), high[order].tolist(), strict=True):
+        if (u := root(x)) != (v := root(y)):
+            parent[u] = v
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the least id that each id of `links` (a, b) reaches.
 
     Large-star and small-star steps in turn until nothing moves; each round is a written table. Every id has at most one
     row for each of its links, and minima are taken with partial aggregation, so a hub's rows meet pre-aggregated.
     """
+    if links.isEmpty():
+        return materialize(links.select(F.col("a").alias("id"), F.col("b").alias("component")), "components")
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     mark = None
     for _ in range(rounds):
@@ -276,7 +345,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: neighbours below a node, and itself, to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u != v").distinct(), "small-star")
+        small = materialize(small.where("u != v").distinct(), "small-star")
+        drop(edges, large)
+        edges = small
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
@@ -284,42 +355,58 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+    out = materialize(stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct()), "components")
+    drop(edges)
+    return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of `pairs` (a, b), those whose whole sets match; `texts` has id, n, text, bits."""
-    side = lambda name, *columns: texts.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-    rough = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "a_n", "b_n", "a_bits", "b_bits")
-    ids = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_IDS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, n, m, u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bits = _stack([u, v])
-                sizes = np.array([n, m])
-                x, y = (_node(sizes[k : k + 1], bits[k : k + 1], np.zeros(1, np.int64)) for k in (0, 1))
-                if may_match(x, y)[0]:
-                    out.append((a, b))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], ids)
-
-    close = materialize(rough.mapInArrow(sift, "a long, b long"), "close-pairs")
-    both = close.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "a_text", "b_text")
+
+def verified(pairs: DataFrame, texts: DataFrame, sift: bool) -> DataFrame:
+    """Of `pairs` (a, b), those whose whole sets match; `texts` has id, n, text, thin. With `sift`, thin bitmaps part most
+    others before any text moves. Pairs of one a should be many: its text goes once to each HUB_PAIRS of them."""
+    if sift:
+        side = lambda name: texts.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("thin").alias(f"{name}_thin"))
+        rough = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_thin", "b_thin")
+
+        def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for a, b, n, m, u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    rows = [np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)]
+                    bits, sizes = _matrix(rows, min(map(len, rows))), np.array([n, m])
+                    x, y = (_node(sizes[k : k + 1], bits[k : k + 1], np.zeros(1, np.int64)) for k in (0, 1))
+                    if may_match(x, y)[0]:
+                        out.append((a, b))
+                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], _IDS)
+
+        pairs = materialize(rough.mapInArrow(parted, "a long, b long"), "close-pairs")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    hubs = hubs.join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    spokes = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    spokes = spokes.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "b", "text", "part")
+    dealt = hubs.unionByName(spokes).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, held = None, np.zeros(0, np.uint64)
+        hub, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
-                for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    if x != text:
-                        text, held = x, _one_set(x)
-                    if _matches(held, _one_set(y)):
+                for a, b, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if b is None:
+                        hub, held = a, _one_set(text)
+                    elif a != hub:
+                        raise RuntimeError(f"pairs of {a} came without its text")
+                    elif _matches(held, _one_set(text)):
                         out.append({"a": a, "b": b})
-                yield pa.RecordBatch.from_pylist(out, ids)
+                yield pa.RecordBatch.from_pylist(out, _IDS)
+        give_back()
 
-    return materialize(both.mapInArrow(check, "a long, b long"), "verified-pairs")
+    out = materialize(dealt.select("a", "b", "text").mapInArrow(check, "a long, b long"), "verified-pairs")
+    drop(*[pairs] * sift)
+    return out
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
@@ -334,19 +421,9 @@ def _buckets(sets: DataFrame) -> DataFrame:
     return materialize(rows.join(kept, "key").select("key", "id", "n", "c"), "buckets")
 
 
-def _likeliest(a: np.ndarray, b: np.ndarray, classes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, best: int) -> np.ndarray:
-    """Of the pairs (a, b), the places of the `best` of any two classes by their common bits against their sizes."""
-    common = np.concatenate([np.bitwise_count(bits[a[k : k + 65536]] & bits[b[k : k + 65536]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 65536)])
-    low, high = np.minimum(classes[a], classes[b]), np.maximum(classes[a], classes[b])
-    order = np.lexsort((-common / (sizes[a] + sizes[b]), high, low))
-    low, high = low[order], high[order]
-    begins = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-    place = np.arange(len(order))
-    return order[place - np.maximum.accumulate(np.where(begins, place, 0)) < best]
-
-
-def _tree_candidates(rows: DataFrame, texts: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b) of rows (key, id, n, c, component) that the signature trees leave; with `best`, the likeliest of them."""
+def _tree_candidates(rows: DataFrame, texts: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, n, c, component) that the signature trees leave; with `spanning`, a forest of them for
+    each bucket or pair of blocks."""
     small = rows.where(F.col("c") <= BLOCK).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "n", "component")
     large = rows.where(F.col("c") > BLOCK)
     # Blocks of a large bucket hold sets of like size; a block's number follows from its sets' ranks among size steps, which
@@ -366,7 +443,6 @@ def _tree_candidates(rows: DataFrame, texts: DataFrame, best: int | None) -> Dat
     columns = ["key", "i", "j", "side", "id", "n", "component"]
     dealt = small.withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")}).unionByName(first.select(columns)).unionByName(second.select(columns))
     dealt = dealt.join(texts.select("id", "bits"), "id")
-    ids = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -374,17 +450,15 @@ def _tree_candidates(rows: DataFrame, texts: DataFrame, best: int | None) -> Dat
         def solve(group: list[tuple]) -> pa.RecordBatch | None:
             if len({r[3] for r in group}) < 2:
                 return None
-            split = sum(r[0] == 0 for r in group)
-            sizes, names, classes = (np.array([r[k] for r in group], np.int64) for k in (2, 1, 3))
-            bits = _stack([r[4] for r in group])
-            a, b = tree_pairs(sizes, bits, classes, split if split < len(group) else 0)
+            sides, names, sizes, classes = (np.array([r[k] for r in group], np.int64) for k in range(4))
+            a, b, likeness = bucket_pairs(sizes, sides, classes, [r[4] for r in group])
             if not len(a):
                 return None
-            if best:
-                kept = _likeliest(a, b, classes, sizes, bits, best)
+            if spanning:
+                kept = forest(a, b, classes, likeness)
                 a, b = a[kept], b[kept]
             a, b = names[a], names[b]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=ids)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_IDS)
 
         now = None
         for batch in batches:
@@ -397,6 +471,7 @@ def _tree_candidates(rows: DataFrame, texts: DataFrame, best: int | None) -> Dat
                 held.append(tuple(row))
         if len(held) > 1 and (out := solve(held)) is not None:
             yield out
+        give_back()
 
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "n", "id")
     return ordered.select("key", "i", "j", "side", "id", "n", "component", "bits").mapInArrow(traverse, "a long, b long").distinct()
@@ -404,46 +479,73 @@ def _tree_candidates(rows: DataFrame, texts: DataFrame, best: int | None) -> Dat
 
 def clusters(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, component) of every id that a verified link reaches. `buckets` has key, id, n and c (sets in the bucket);
-    `texts` has id, n, text, bits of every id in a bucket."""
+    `texts` has id, n, text, bits, thin of every id in a bucket. Both are tables of materialize() and are dropped."""
+    if buckets.isEmpty():
+        drop(buckets, texts)
+        return materialize(buckets.sparkSession.createDataFrame([], "id long, component long"), "components")
     # The set that shares most buckets with others leads its buckets: of edited copies, that is the text least edited.
     weights = materialize(buckets.groupBy("id").agg(F.sum("c").alias("w")), "bucket-weights")
     leads = materialize(buckets.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("w", "id")).alias("lead")), "bucket-leads")
-    buckets = materialize(buckets.select("key", "id", "n", "c").join(leads, "key"), "led-buckets")
-    pairs = materialize(buckets.where("id != lead").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), "star-pairs")
-    links, tried = verified(pairs, texts), pairs
-    # In large buckets a few of the likeliest pairs of any two components come first: if one of them matches, the others
-    # need no look. What is then still apart is compared in full.
-    for best in (BEST, None):
-        joined = materialize(components(links), "components")
+    pairs = materialize(buckets.join(leads, "key").where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
+    drop(weights, leads)
+    links = verified(pairs, texts, True)
+    tried = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried-pairs")
+    drop(pairs)
+    for spanning in (True, False):
+        joined = components(links)
         labelled = materialize(buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "bucket-components")
+        drop(joined)
         open_ = materialize(labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "open-buckets")
-        rows = labelled.join(open_, "key")
-        rows = rows.where(F.col("c") > FULL) if best else rows
-        pairs = materialize(_tree_candidates(rows, texts, best).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+        rows = materialize(labelled.join(open_, "key"), "open-rows")
+        drop(labelled, open_)
+        if rows.isEmpty():
+            drop(rows)
+            break
+        pairs = materialize(_tree_candidates(rows, texts, spanning).join(tried, ["a", "b"], "left_anti"), "tree-pairs")
+        drop(rows)
         if not pairs.isEmpty():
-            links = materialize(links.unionByName(verified(pairs, texts)), "links")
-            tried = materialize(tried.unionByName(pairs), "tried-pairs")
-    return materialize(components(links), "components")
+            more = verified(pairs, texts, False)
+            both, before = materialize(links.unionByName(more), "links"), tried
+            tried = materialize(before.unionByName(pairs), "tried-pairs")
+            drop(links, more, before)
+            links = both
+        drop(pairs)
+    drop(tried, buckets, texts)
+    out = components(links)
+    drop(links)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, n_shingles, component_id.
 
-    A text without words has no shingles and its own id as component; so has a document that links with none. A null
-    doc_id has a null component and links with nothing. Rows with one doc_id and equal texts are one node; where an id
-    stands for several texts, each is compared, and a link of one of them counts for the id.
+    A text without words has no shingles and its own id as component; so has a document that links with none. Each text is
+    a node of its own: rows that share an id are linked only if their texts are, and repeated rows are copies. A null id is
+    no one's component: rows without id link like others, and have a null component where no linked row has an id. An empty
+    table gives no rows. A text may have any length; it is held whole by one task at a time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = materialize(keyed(docs, ["id"]), "keyed")
-    real = rows.where("n > 0 and id is not null")
-    sets = materialize(real.groupBy("s1", "s2").agg(F.min(F.struct("id", "n", "rare", "common")).alias("x")).select("s1", "s2", "x.*"), "sets")
+    full = materialize(keyed(docs, ["id"]), "keyed")
+    rows = materialize(full.select("id", "n", "s1", "s2"), "set-names")
+    found = full.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("n", "rare", "common")).alias("x"), F.min("id").alias("own"))
+    # Sets are named by a number of their own, for an id may stand for several texts.
+    sets = materialize(found.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "own", "x.*"), "sets")
+    drop(full)
     buckets = _buckets(sets)
-    wanted = materialize(buckets.select("id").distinct().join(sets.select("id", "s1", "n"), "id"), "wanted-sets")
-    texts = materialize(signed(docs, ["id", "text"]).join(wanted, ["id", "s1"]).select("id", "n", "text", "bits").distinct(), "wanted-texts")
+    named = materialize(sets.select("id", "s1", "s2", "own", "n"), "named-sets")
+    drop(sets)
+    wanted = materialize(buckets.select("id").distinct().join(named, "id").withColumnsRenamed({"s1": "w1", "s2": "w2"}), "wanted-sets")
+    bare = signed(docs.withColumnRenamed("id", "doc"), ["doc", "text"])
+    mine = (F.col("s1") == F.col("w1")) & (F.col("s2") == F.col("w2")) & F.col("doc").eqNullSafe(F.col("own"))
+    texts = materialize(bare.join(wanted, mine).select("id", "n", "text", "bits", "thin").dropDuplicates(["id"]), "wanted-texts")
+    drop(wanted)
     found = clusters(buckets, texts)
-    by_set = materialize(sets.select("s1", "s2", "id").join(found, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id")), "set-components")
+    labels = named.join(found, "id", "left").select("s1", "s2", "own", F.coalesce("component", "id").alias("component"))
+    least = labels.groupBy("component").agg(F.min("own").alias("component_id"))
+    by_set = materialize(labels.join(least, "component").select("s1", "s2", "component_id"), "set-components")
+    drop(named, found)
     out = rows.join(by_set, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op10_neardups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ than once are compared, and no repeated window is lost.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -16,24 +17,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import ASCII_LOWER, NOT_BLANK, materialize, mix, powers, prefix_hashes, ship, span_hashes, utf8_parts, word_spans
+from ._shared import ASCII_LOWER, NOT_BLANK, drop, give_back, materialize, mix, powers, prefix_hashes, ship, span_hashes, utf8_parts, word_spans
 from .neardups import _identity, clusters, shingle_sets, signed
 
-#: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**ROWS)**BANDS, which is below 5 in a million.
-BANDS, ROWS = 12, 2
+#: The similarity from which pairs have to be found, the share of such pairs that may be missed, and hashes in a band.
+SIMILARITY, MISSED, ROWS = 0.8, 5e-6, 2
+
+
+def bands_for(similarity: float, missed: float, rows: int) -> int:
+    """The fewest bands of `rows` hashes with which a pair of this similarity shares none with a probability below `missed`."""
+    return math.ceil(math.log(missed) / math.log(1 - similarity**rows))
+
+
+BANDS = bands_for(SIMILARITY, MISSED, ROWS)
 #: Paragraphs with fewer words are left alone.
 MIN_WORDS = 20
 #: Words of the shortest passage, and of the anchors in it.
 PASSAGE, GRAM = 50, 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WORDS_AND_BLANKS = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-_KEYED = "doc_id long, text_hash long, para_no int, n long, s1 long, bands array<long>"
+_KEYED = "doc_id long, text_hash long, para_no int, n long, s1 long, s2 long, bands array<long>"
 
 
 def banded(docs: DataFrame) -> DataFrame:
     """A row for each paragraph of at least MIN_WORDS words: its place, the identity of its shingle set, and its band keys."""
     ship(docs.sparkSession)
-    salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    salts = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     names = [c.split()[0] for c in _KEYED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +60,7 @@ def banded(docs: DataFrame) -> DataFrame:
                     places, paragraphs, size = [], [], 0
             if paragraphs:
                 yield _bands(places, paragraphs, salts, names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, _KEYED)
 
@@ -59,12 +69,12 @@ def _bands(places: list[tuple], paragraphs: list[str], salts: np.ndarray, names:
     out: list[list] = [[] for _ in names]
     for first, last, bounds, hashes in shingle_sets(pa.array(paragraphs, pa.string())):
         n = np.diff(bounds)
-        sums = _identity(bounds, hashes, 0x9FB21C651E98DF25)
+        one, two = (_identity(bounds, hashes, salt) for salt in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
         least = np.zeros((len(salts), last - first), np.uint64)
         filled = np.flatnonzero(n)
         if len(filled):
             for k, salt in enumerate(salts):
-                least[k, filled] = np.minimum.reduceat(mix(hashes ^ salt), bounds[:-1][filled])
+                least[k, filled] = np.minimum.reduceat((hashes ^ (salt >> np.uint64(7))) * salt, bounds[:-1][filled])
         keys = np.zeros((BANDS, last - first), np.uint64)
         for b in range(BANDS):
             acc = np.full(last - first, b + 1, np.uint64)
@@ -74,9 +84,9 @@ def _bands(places: list[tuple], paragraphs: list[str], salts: np.ndarray, names:
         for k in range(first, last):
             # The words, not the distinct shingles, decide whether a paragraph is long enough.
             if n[k - first] and (n[k - first] + 4 >= MIN_WORDS or len(paragraphs[k].split()) >= MIN_WORDS):
-                for column, value in zip(out, (*places[k], int(n[k - first]), int(sums[k - first]), keys[:, k - first].view(np.int64)), strict=True):
+                for column, value in zip(out, (*places[k], int(n[k - first]), int(one[k - first]), int(two[k - first]), keys[:, k - first].view(np.int64)), strict=True):
                     column.append(value)
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
 
@@ -88,24 +98,33 @@ def clustered_paragraphs(docs: DataFrame) -> DataFrame:
     matches. Its first place, in the order of doc_id, text hash and number, stays and the others are removed. Rows that
     repeat an id and text have equal places, of which none removes the other. A null or empty text has no paragraphs.
     """
-    rows = materialize(banded(docs), "paragraphs")
+    full = materialize(banded(docs), "paragraphs")
+    rows = materialize(full.drop("n", "bands"), "paragraph-names")
     place = F.struct("doc_id", "text_hash", "para_no")
-    sets = materialize(rows.groupBy("s1").agg(F.min(F.struct(place.alias("own"), "n", "bands")).alias("x")).select(F.col("s1").alias("id"), "x.*"), "paragraph-sets")
+    found = full.groupBy("s1", "s2").agg(F.min(F.struct(place.alias("own"), "n", "bands")).alias("x"), F.count("*").alias("copies"))
+    sets = materialize(found.select(F.monotonically_increasing_id().alias("id"), "s1", "s2", "copies", "x.*"), "paragraph-sets")
+    drop(full)
     keys = sets.select("id", "n", F.explode("bands").alias("key"))
     heads = materialize(keys.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(3), "id").cast("decimal(20,0)")).alias("h2")).where("c > 1"), "band-heads")
     # Of bands with the same sets one stays.
     kept = materialize(heads.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")).select("key", "c"), "bands")
+    drop(heads)
     buckets = materialize(keys.join(kept, "key").select("key", "id", "n", "c"), "band-rows")
+    named = materialize(sets.select("id", "s1", "s2", "copies", "own"), "named-paragraphs")
     wanted = materialize(buckets.select("id").distinct().join(sets.select("id", "n", "own"), "id").select("id", "n", "own.*"), "wanted-paragraphs")
+    drop(kept, sets)
     lines = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("para_no", "text")).where(F.length("text") >= 2 * MIN_WORDS - 1)
-    found = lines.join(wanted, ["doc_id", "text_hash", "para_no"])
-    texts = materialize(signed(found.select("id", "n", "text"), ["id", "n", "text"]).drop("s1").dropDuplicates(["id"]), "paragraph-texts")
+    w = wanted.withColumnsRenamed({"doc_id": "w_id", "text_hash": "w_hash", "para_no": "w_no"})
+    found = lines.join(w, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")) & (F.col("para_no") == F.col("w_no")))
+    texts = materialize(signed(found.select("id", "n", "text"), ["id", "n", "text"]).drop("s1", "s2").dropDuplicates(["id"]), "paragraph-texts")
+    drop(wanted)
     parts = clusters(buckets, texts)
-    by_set = materialize(sets.select("id", "own").join(parts, "id", "left").select(F.col("id").alias("s1"), F.coalesce("component", "id").alias("component"), "own"), "paragraph-components")
+    by_set = materialize(named.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "paragraph-components")
+    drop(named, parts)
     firsts = by_set.groupBy("component").agg(F.min("own").alias("cluster"), F.count("*").alias("sets"))
-    copies = rows.groupBy("s1").agg(F.count("*").alias("copies"))
-    verdicts = materialize(by_set.join(firsts, "component").join(copies, "s1").where("sets > 1 or copies > 1").select("s1", "cluster"), "paragraph-verdicts")
-    return rows.join(verdicts, "s1").select("doc_id", "text_hash", "para_no", "cluster", (F.struct("doc_id", "text_hash", "para_no") != F.col("cluster")).alias("removed"))
+    verdicts = materialize(by_set.join(firsts, "component").where("sets > 1 or copies > 1").select("s1", "s2", "cluster"), "paragraph-verdicts")
+    drop(by_set)
+    return rows.join(verdicts, ["s1", "s2"]).select("doc_id", "text_hash", "para_no", "cluster", (F.struct("doc_id", "text_hash", "para_no") != F.col("cluster")).alias("removed"))
 
 
 def _windows(column: pa.Array) -> Iterator[tuple]:
@@ -162,6 +181,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                     ],
                     names=names,
                 )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, schema)
 
@@ -204,18 +224,24 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     named = rows.where("anchor is not null").select("anchor", "text_hash", "twice")
     # Copies of a text don't make its anchors repeated.
     repeated = named.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b"), F.max("twice").alias("twice")).where("a != b or twice").select("anchor")
-    open_ = named.join(materialize(repeated, "repeated-anchors"), "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("anchors"))
+    repeated = materialize(repeated, "repeated-anchors")
+    open_ = named.join(repeated, "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("anchors"))
     wanted = materialize(open_.join(owners, "text_hash").select("text_hash", "owner", "anchors"), "open-texts")
+    whole = materialize(whole, "whole-texts")
+    drop(rows, repeated)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("owner")))
     windows = materialize(_open_windows(texts), "windows")
     place = F.struct("doc_id", "text_hash", F.col("start").alias("first_word"), F.col("line").alias("para_no"))
     firsts = windows.groupBy("w").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("w", "first")
-    later = windows.join(materialize(firsts, "first-windows"), "w").where((F.col("text_hash") != F.col("first.text_hash")) | (F.col("start") - F.col("first.first_word") >= PASSAGE))
+    firsts = materialize(firsts, "first-windows")
+    later = windows.join(firsts, "w").where((F.col("text_hash") != F.col("first.text_hash")) | (F.col("start") - F.col("first.first_word") >= PASSAGE))
     side = later.select("doc_id", "text_hash", "start", "line", "first", (F.col("start") - F.col("first.first_word")).alias("shift")).dropDuplicates(["text_hash", "start"])
     run = Window.partitionBy("text_hash", "first.text_hash", "shift").orderBy("start")
     islands = side.withColumn("island", F.col("start") - F.row_number().over(run))
     found = islands.groupBy("text_hash", F.col("first.text_hash").alias("of"), "shift", "island").agg(F.min(F.struct("start", "doc_id", "line", "first")).alias("x"), F.max("start").alias("end"))
     parts = found.select("x.doc_id", "text_hash", F.col("x.line").alias("para_no"), F.col("x.start").alias("first_word"), (F.col("end") - F.col("x.start") + PASSAGE).alias("n_words"), "x.first")
+    parts = materialize(parts, "passages")
+    drop(wanted, windows, firsts)
     copies = whole.select("doc_id", "text_hash").distinct().join(owners, "text_hash").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     zero = F.lit(0).cast("int")
     origin = F.struct(F.col("owner").alias("doc_id"), "text_hash", zero.alias("first_word"), F.col("line").alias("para_no"))

@@ -109,7 +109,6 @@ def test_near_duplicates_in_blocks_equal_brute_force(spark, corpus, monkeypatch)
     base = prose(rng, 60)
     rows = [(i, edited(rng, base, rng.randrange(1, 5)), "en", "s", 0) for i in range(70)]
     monkeypatch.setattr(neardups, "BLOCK", 8)
-    monkeypatch.setattr(neardups, "FULL", 4)
     found = {r.doc_id: r.component_id for r in neardups.near_duplicates(frame(spark, rows)).collect()}
     assert [found[i] for i in range(70)] == components([shingles(r[1]) for r in rows], matches)
 
@@ -122,12 +121,42 @@ def test_tree_pairs_lose_nothing():
         for _ in range(3):
             sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.08], rng.integers(0, 1 << 62, 2).astype(np.uint64)])))
     sets.sort(key=len)
-    sizes, bits = np.array([len(s) for s in sets]), neardups._stack([neardups._bitmap(s).tobytes() for s in sets])
+    sizes, bits = np.array([len(s) for s in sets]), neardups._matrix([neardups._bitmap(s) for s in sets], 8)
     a, b = neardups.tree_pairs(sizes, bits, np.arange(len(sets)))
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     assert {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if neardups._matches(sets[i], sets[j])} <= found
 
 
+def test_runs_of_few_words(spark):
+    """Runs that hold fewer words than a shingle, alone in their table or batch."""
+    for n in range(7):
+        texts = [prose(random.Random(n), n)] if n else [""]
+        for column in (texts, [*texts, None, ""], texts * 2):
+            got = [(bounds.tolist(), len(hashes)) for _, _, bounds, hashes in neardups.shingle_sets(paragraphs.pa.array(column, paragraphs.pa.string()))]
+            sizes = [len(shingles(t)) for t in column]
+            assert got == [(np.append(0, np.cumsum(sizes)).tolist(), sum(sizes))]
+    docs = spark.createDataFrame([(1, "a b c"), (2, "A  b c"), (3, "a b")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardups.near_duplicates(docs).collect()} == {1: (1, 1), 2: (1, 1), 3: (1, 3)}
+    assert paragraphs.clustered_paragraphs(spark.createDataFrame([(1, "one-very-long-word-here two-very-long-words three")], "doc_id long, text string")).count() == 0
+
+
+def test_a_bucket_of_all_sizes_loses_nothing():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 6000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:n], rng.integers(0, 1 << 62, 1 + n // 30).astype(np.uint64)])) for n in rng.integers(1, 6000, 90)]
+    sets.sort(key=len)
+    for sides in (np.zeros(len(sets), np.int64), np.arange(len(sets)) % 2):
+        order = np.argsort(sides, kind="stable")
+        own = [sets[k] for k in order]
+        a, b, like = neardups.bucket_pairs(np.array([len(x) for x in own]), sides[order], np.arange(len(own)), [neardups._bitmap(x).tobytes() for x in own])
+        found = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        want = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if neardups._matches(own[i], own[j]) and (sides.max() == 0 or sides[order][i] != sides[order][j])}
+        assert want <= found and len(found) <= 3 * len(want)
+        kept = neardups.forest(a, b, np.arange(len(own)), like)
+        joined = lambda pairs: components(list(range(len(own))), lambda x, y: (min(x, y), max(x, y)) in pairs)
+        assert joined({(min(a[k], b[k]), max(a[k], b[k])) for k in kept}) == joined(found)
+
+
 def test_lines_equal_brute_force(spark, corpus):
     rows = frame(spark, corpus).select("doc_id", "text")
     found = {(r.doc_id, r.line_no): r["first"] and (r["first"].doc_id, r["first"].line_no) for r in lines.judged_lines(rows, ["doc_id"]).collect()}
