@@ -1,4 +1,12 @@
-"""Line deduplication as an exact set-similarity self-join, with DataFrame operations only."""
+"""Line deduplication as an exact set-similarity self-join, with DataFrame operations only.
+
+1. Equal lines are merged to one, named by a number, with its first place and how often it occurs.
+2. A line's distinct words are ordered by rarity. Two lines match only if their prefixes share a word; of pairs that share
+   one, those stay whose lengths allow a match, whose words behind the shared one still suffice, and whose parity sketches
+   (64 bits, each word flips one) differ in no more bits than the sets may differ in words. Words stand here as hashes,
+   which can only add pairs.
+3. Pairs are decided on the words themselves, and each line takes its earliest match.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +14,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import materialize
+from ._shared import drop, fresh, materialize
 
 #: Lines match where 100 * |A and B| >= PERCENT * |A or B| over their sets of words.
 PERCENT = 80
 #: Hash buckets in which words are counted for their order of rarity; tasks get one byte for each.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 _BLANKS = r"[\x20\x09-\x0D]+"
-_WORD = r"[^\x20\x09-\x0D]"
+_BLANK_CHARS = " \t\n\x0b\x0c\r"
+#: Bits of a word's hash below its level.
+_HASH_BITS = 55
+
+
+def _words(line: Column) -> Column:
+    """The words of a line; most lines have no blank but spaces, on which splitting is fast."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.array_remove(F.when(odd, F.split(line, _BLANKS)).otherwise(F.split(line, " ")), "")
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, _BLANKS), "")
+def _has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANK_CHARS)) != ""
 
 
 def _bucket(word_hash: Column) -> Column:
-    return word_hash.bitwiseAND(F.lit(BUCKETS - 1))
+    return word_hash.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity_levels(docs: DataFrame) -> bytes:
-    """A byte for each hash bucket of words: the logarithm, in steps of a fifth, of how often its words occur in all texts."""
-    hashes = docs.select(F.explode(_words(F.col("text"))).alias("w")).select(_bucket(F.hash("w")).alias("b"))
+def rarity_levels(lines: DataFrame) -> bytes:
+    """A byte for each hash bucket of words: the logarithm, in steps of a fifth, of how often its words occur in `lines` (line)."""
+    hashes = lines.select(F.explode(_words(F.col("line"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
     counted = hashes.groupBy("b").agg(F.least(F.floor(5 * F.log1p(F.count("*"))), F.lit(127)).cast("int").alias("level"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+    every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     # At most BUCKETS rows meet here, whatever the vocabulary.
     dense = every.join(counted, "b", "left").select(F.struct("b", F.lpad(F.hex(F.coalesce("level", F.lit(0))), 2, "0").alias("level")).alias("x"))
     return bytes(dense.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["level"]), "")).alias("levels")).first().levels)
@@ -37,7 +53,7 @@ def rarity_levels(docs: DataFrame) -> bytes:
 def numbered_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     """A row for each line that has a word: the columns `ids`, line_no from 0, and line."""
     lines = docs.select(*ids, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(_WORD))
+    return lines.where(_has_word(F.col("line")))
 
 
 def _line_key() -> list[Column]:
@@ -53,69 +69,57 @@ def _need(n: Column, m: Column) -> Column:
     return F.call_function("div", PERCENT * (n + m) + F.lit(100 + PERCENT - 1), F.lit(100 + PERCENT))
 
 
-def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
-    """Every distinct line that is repeated or has an earlier match: k1, k2 (its key) and first, the least place of the line
-    and its matches.
-
-    A place is the struct of `ids` and line_no; nulls in it come first. Words are compared as written, by 31-bit hashes.
-    Each distinct line's word set is ordered by rarity. Two sets match only if their prefixes share a word; of pairs that
-    share one, those stay whose lengths allow a match, whose words behind the shared one still suffice, and whose parity
-    sketches (64 bits, each word flips one) differ in no more bits than the sets may differ in words. The rest are verified
-    on the whole sets. The sets are shuffled once, by line; prefixes and verification both read that shuffle.
-    """
-    levels = F.lit(rarity_levels(docs))
-    level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string"))
-    lines = numbered_lines(docs, ids)
-    place = F.struct(*ids, "line_no")
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.hash(w).bitwiseAND(F.lit(0x7FFFFFFF))))
-    # Rarer words first; equal levels in the order of the hashes.
-    codes = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h).cast("long"), 32).bitwiseOR(h.cast("long"))))
-    words = F.transform(codes, lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    ranked = lines.select(*_line_key(), F.struct(place.alias("own"), words.alias("words")).alias("row"))
-    # Copies meet here after each task has merged its own.
-    sets = ranked.groupBy("k1", "k2").agg(F.min("row").alias("row"))
-
-    words = F.col("row.words")
-    n = F.size(words)
+def candidates(firsts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of numbers of `firsts` (id, line) that pass all filters, a < b."""
+    levels = F.lit(rarity_levels(firsts))
+    level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+    low = F.lit((1 << _HASH_BITS) - 1)
+    # Rarer words first; equal levels in the order of the hashes, equal hashes in any.
+    code = lambda w: F.shiftleft(level(F.xxhash64(w)), _HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
+    coded = firsts.select("id", F.sort_array(F.transform(F.array_distinct(_words(F.col("line"))), code)).alias("codes"))
+    n = F.size("codes")
     prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1
-    flip = lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(w, 20)))  # noqa: E731  a shift takes the low six bits
-    # A set is named by k1 in what is dealt by words; places and whole keys are joined to the pairs.
-    keys = sets.select(F.posexplode(F.slice(words, F.lit(1), prefix)).alias("pos", "word"), "k1", n.alias("n"), F.aggregate(words, F.lit(0).cast("long"), flip).alias("sketch"))
-    keys = keys.select("word", "k1", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
+    flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")))  # noqa: E731  a shift takes the low six bits
+    keys = coded.select(F.posexplode(F.slice("codes", F.lit(1), prefix)).alias("pos", "word"), "id", n.alias("n"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("sketch"))
+    keys = keys.select("word", "id", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
     pos_of = lambda x: F.shiftright(f"{x}.pn", 32)
     an, bn, ap, bp = n_of("a"), n_of("b"), pos_of("a"), pos_of("b")
     need = _need(an, bn)
     close = (
-        (an <= bn) & (100 * an >= PERCENT * bn)
+        (F.col("a.id") < F.col("b.id"))
+        & (100 * F.least(an, bn) >= PERCENT * F.greatest(an, bn))
         & (F.least(an - ap, bn - bp) >= need)
         & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= an + bn - 2 * need)
-        & ((an < bn) | (F.col("a.k1") < F.col("b.k1")))
     )
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & close)
-    pairs = met.select(F.least("a.k1", "b.k1").alias("a1"), F.greatest("a.k1", "b.k1").alias("b1")).distinct()
-
-    # Several lines can have one place, where rows share an id: candidates are told apart by line keys throughout.
-    named = sets.select("k1", F.struct(F.col("row.own").alias("place"), "k1", "k2").alias("x"))
-    met = pairs.join(named.toDF("a1", "a"), "a1").join(named.toDF("b1", "b"), "b1").where(F.col("a.place") != F.col("b.place"))
-    late, early = F.greatest("a", "b"), F.least("a", "b")
-    found = met.select(late["k1"].alias("l1"), late["k2"].alias("l2"), early["place"].alias("early"), early["k1"].alias("e1"), early["k2"].alias("e2"))
-    side = lambda x: sets.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("row.words").alias(f"{x}_words"))
-
-    def verify(some: DataFrame) -> DataFrame:
-        both = some.join(side("e"), ["e1", "e2"]).join(side("l"), ["l1", "l2"])
-        shared = F.size(F.array_intersect("e_words", "l_words"))
-        return both.where(100 * shared >= PERCENT * (F.size("e_words") + F.size("l_words") - shared)).select("l1", "l2", "early")
-
-    # A line's earliest candidate is verified first; only the others of those that fail are verified at all.
-    nearest = found.groupBy("l1", "l2").agg(F.min(F.struct("early", "e1", "e2")).alias("x")).select("l1", "l2", "x.*")
-    settled = verify(nearest)
-    rest = found.join(settled.select("l1", "l2"), ["l1", "l2"], "left_anti").join(nearest.select("l1", "l2", "e1", "e2"), ["l1", "l2", "e1", "e2"], "left_anti")
-    matched = settled.unionByName(verify(rest)).groupBy("l1", "l2").agg(F.min("early").alias("first"))
-    similar = materialize(matched.select(F.col("l1").alias("k1"), F.col("l2").alias("k2"), F.col("first").cast(place_type(docs, ids)).alias("first"), F.lit(2).cast("long").alias("copies")), "line-matches")
-    repeated = lines.select(*_line_key(), place.alias("own")).groupBy("k1", "k2").agg(F.min("own").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    return similar.unionByName(repeated).groupBy("k1", "k2").agg(F.min("first").alias("first"))
+    return a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """Every distinct line that is repeated or has an earlier match: k1, k2 (its key) and first, the least place of the line
+    and its matches.
+
+    A place is the struct of `ids` and line_no; nulls in it come first. Words are compared as written. Several lines can
+    have one place, where rows share all of `ids`; of these none is earlier than another.
+    """
+    lines = numbered_lines(docs, ids).select(*_line_key(), F.struct(F.struct(*ids, "line_no").alias("own"), "line").alias("row"))
+    # Copies meet here after each task has merged its own.
+    merged = lines.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    firsts = materialize(merged.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "copies", F.col("row.own").cast(place_type(docs, ids)).alias("own"), F.col("row.line").alias("line")), "first-lines")
+    pairs = materialize(candidates(firsts.select("id", "line")), "line-pairs")
+    side = lambda x: firsts.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_own != b_own")
+    met = met.withColumns({f"{x}_words": F.array_distinct(_words(F.col(f"{x}_line"))) for x in "ab"})
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    same = met.where(100 * shared >= PERCENT * (F.size("a_words") + F.size("b_words") - shared))
+    late = F.when(F.col("a_own") < F.col("b_own"), F.col("b")).otherwise(F.col("a"))
+    matched = materialize(same.select(late.alias("id"), F.least("a_own", "b_own").alias("early")).groupBy("id").agg(F.min("early").alias("early")), "line-matches")
+    drop(pairs)
+    out = firsts.select("id", "k1", "k2", "copies", "own").join(matched, "id", "left").where("copies > 1 or early is not null")
+    out = materialize(out.select("k1", "k2", F.least("own", "early").alias("first")), "line-verdicts")
+    drop(firsts, matched)
+    return out
 
 
 def judged_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
@@ -124,7 +128,7 @@ def judged_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     A line is removed if it matches any earlier one, whether or not that one is kept. Rows that share all of `ids` have
     equal places and do not remove each other's equal lines. A null or empty text has no such line.
     """
-    found = materialize(matching_lines(docs, ids), "line-verdicts")
+    found = matching_lines(docs, ids)
     lines = numbered_lines(docs, ids).select(F.struct(*ids, "line_no").alias("place"), *_line_key())
     out = lines.join(found, ["k1", "k2"], "left").select("place.*", F.col("k1").alias("line_key"), F.when(F.col("first") < F.col("place"), F.col("first")).alias("first"))
     return out.withColumn("removed", F.col("first").isNotNull())
@@ -133,30 +137,28 @@ def judged_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """Documents without the lines that match an earlier one; a document all of whose lines with words go is dropped.
 
-    The order of lines is that of doc_id and line number. All columns stay; n_chars, where there is one, is the new text's
-    length. Rows without a word stay as they are. Rows that repeat a doc_id are compared with other documents, not with
-    each other.
+    The order of lines is that of doc_id and line number; a null id comes first. All columns stay; n_chars, where there is
+    one, is the new text's length. Rows without a word stay as they are. Rows that repeat a doc_id are compared with other
+    documents, not with each other. An empty table gives no rows; a text of any length is split within one row.
     """
-    gone = judged_lines(docs, ["doc_id"]).where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line_key")).alias("__gone"))
-    return without_lines(docs, gone, ["doc_id"], lambda x, i: F.struct(i.alias("line_no"), F.xxhash64(x).alias("line_key")))
-
-
-def without_lines(docs: DataFrame, gone: DataFrame, keys: list[str], mark) -> DataFrame:
-    """Documents without the lines of which mark(line, number) is in the array __gone under their `keys`."""
-    gone = materialize(gone.withColumnsRenamed({c: f"__gone_{c}" for c in keys}), "line-removals")
-    on = F.lit(True)
-    for c in keys:
-        on = on & docs[c].eqNullSafe(gone[f"__gone_{c}"])
-    joined = docs.join(gone, on, "left").withColumn("__lines", F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", mark(x, i))))
-    cut = joined.where(F.col("__gone").isNull() | F.exists("__lines", lambda x: x.rlike(_WORD)))
-    cut = cut.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__lines", "\n")))
+    keyed = docs.select("doc_id", "text")
+    gone = judged_lines(keyed, ["doc_id"]).where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line_key")).alias("gone"))
+    gone = materialize(gone, "line-removals")
+    gone_id, left = fresh("__gone_id", docs.columns), fresh("__left", docs.columns)
+    gone_at = fresh("__gone", docs.columns)
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("gone").alias(gone_at))
+    stays = lambda x, i: ~F.array_contains(gone_at, F.struct(i.alias("line_no"), F.xxhash64(x).alias("line_key")))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[gone_id]), "left").withColumn(left, F.filter(F.split("text", "\n"), stays))
+    cut = joined.where(F.col(gone_at).isNull() | F.exists(left, _has_word))
+    cut = cut.withColumn("text", F.when(F.col(gone_at).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        cut = cut.withColumn("n_chars", F.when(F.col(gone_at).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return cut.select(*docs.columns)
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of `documents` that has a word: doc_id, line_no, removed, first_doc_id and first_line_no of its earliest match."""
+    """Every line of `documents` that has a word: doc_id, line_no, removed, first_doc_id and first_line_no of its earliest
+    match (null where it has none). A null or empty text has no line; a null id comes first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = judged_lines(docs, ["doc_id"])
     return out.select("doc_id", "line_no", "removed", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))

@@ -11,9 +11,10 @@ from ._shared import materialize
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-ROUNDS = 50
-#: Prior share of good documents, and prior rates of a rule's bad vote on good and on bad documents.
-GOOD, WRONG, RIGHT = 0.9, 0.002, 0.3
+ROUNDS = 100
+#: Prior means of the share of good documents and of a rule's rate of bad votes (among its votes) on good and on bad
+#: documents, and the weight of each of these priors in documents, whatever the number of documents.
+GOOD, WRONG, RIGHT, MASS = 0.9, 0.05, 0.3, 40
 #: A document is kept where its posterior probability of good quality is at least this.
 THRESHOLD = 0.5
 
@@ -34,9 +35,15 @@ def text_stats(text: Column) -> list[tuple[str, Column]]:
         ("n_lines", F.size(lines).cast("long")),
         ("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")),
         ("n_closed_lines", F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:;,\"'»)\]]\s*$"))).cast("long")),
+        # A word counts from its first symbol to its end, a line likewise.
+        ("n_symbol_words", F.regexp_count("__text", F.lit(r"[#*$%&|<>][^\x20\x09-\x0D]*")).cast("long")),
+        ("n_symbol_lines", F.regexp_count("__text", F.lit(r"[#*$%&|<>][^\n]*")).cast("long")),
+        ("n_bare_words", F.regexp_count("__text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])")).cast("long")),
+        ("n_marks", F.regexp_count("__text", F.lit(r"[.!?]")).cast("long")),
         ("n_upper", F.regexp_count("__text", F.lit(r"\p{Lu}")).cast("long")),
         ("n_lower", F.regexp_count("__text", F.lit(r"\p{Ll}")).cast("long")),
         ("__hashes", F.transform(words, lambda w: F.xxhash64(w))),
+        ("n_doubled", F.size(F.filter("__hashes", lambda h, i: h == F.get(F.col("__hashes"), i + 1))).cast("long")),
         ("n_distinct", F.size(F.array_distinct("__hashes")).cast("long")),
         ("__windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)).cast("int")), lambda i: F.xxhash64(F.slice(F.col("__hashes"), i, WINDOW)))).otherwise(F.array().cast("array<long>"))),
         # Most texts repeat no window: only those that do are sorted.
@@ -58,14 +65,19 @@ def rules() -> dict[str, Column]:
     upper = F.col("n_upper") / F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1))
     closed = share("n_closed_lines", "n_lines")
     return {
-        "size": vote(n < 10, n >= 80),
+        "size": vote(n < 30, n >= 80),
         "word_length": vote((length < 2.5) | (length > 15), (length >= 3) & (length <= 11)),
-        "symbols": vote(symbols > 0.15, symbols < 0.03),
-        "dup_lines": vote((F.col("n_lines") >= 8) & (share("n_dup_lines", "n_lines") > 0.5), (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1)),
-        "repeats": vote((n >= 100) & (share("n_repeat_words", "n_words") > 0.25), share("n_repeat_words", "n_words") < 0.02),
-        "variety": vote((n >= 30) & (share("n_distinct", "n_words") < 0.2), share("n_distinct", "n_words") > 0.45),
+        "symbols": vote(symbols > 0.1, symbols < 0.03),
+        "symbol_words": vote(share("n_symbol_words", "n_words") > 0.1, share("n_symbol_words", "n_words") < 0.02),
+        "symbol_lines": vote(share("n_symbol_lines", "n_lines") > 0.5, share("n_symbol_lines", "n_lines") < 0.2),
+        "bare_words": vote(share("n_bare_words", "n_words") > 0.2, share("n_bare_words", "n_words") < 0.05),
+        "dup_lines": vote((F.col("n_lines") >= 4) & (share("n_dup_lines", "n_lines") > 0.3), (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1)),
+        "repeats": vote((n >= 40) & (share("n_repeat_words", "n_words") > 0.15), share("n_repeat_words", "n_words") < 0.02),
+        "doubled": vote(share("n_doubled", "n_words") > 0.2, share("n_doubled", "n_words") < 0.03),
+        "variety": vote((n >= 30) & (share("n_distinct", "n_words") < 0.25), share("n_distinct", "n_words") > 0.45),
         "case": vote(upper > 0.4, (upper < 0.15) & (F.col("n_lower") > 0)),
         "endings": vote(closed < 0.2, closed > 0.7),
+        "sentences": vote(n > 40 * F.greatest(F.col("n_marks"), F.lit(1)), (n >= 2 * F.col("n_marks")) & (n <= 25 * F.col("n_marks"))),
     }
 
 
@@ -73,32 +85,30 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[floa
     """Expectation-maximisation over counts of vote patterns, of which there are at most 3**n_rules.
 
     Returns the log odds of good quality and, for each rule and vote, what the vote adds to them. Votes of a rule are
-    independent given the quality; an abstention says nothing. The rates have a prior as strong as the data: a bad vote is
-    seldom wrong (WRONG of good documents) and common on bad ones (RIGHT), a good vote is as common on both. Without it the
-    two qualities drift to whatever splits the votes best, for junk of one kind offends against few rules and has the good
-    votes of the others. The start doubts a document by its number of bad votes.
+    independent given the quality, and a rule has two rates: how often it votes bad, when it votes, on good and on bad
+    documents. Abstentions count as missing votes: they follow a text's length, not its quality, and would split short texts
+    from long ones if they had rates. Every rate has a Beta prior worth MASS documents, which tells the qualities apart at
+    the start and gives way to the data after that. So a rule whose bad votes no other rule backs loses its weight, one that
+    others back gains it, and no vote has a weight or sign of its own.
     """
-    total = sum(c for _, c in patterns)
-    posterior = [(0.97, 0.1, 0.03)[min(2, sum(v < 0 for v in p))] for p, _ in patterns]
-    overall = [{v: (sum(c for p, c in patterns if p[r] == v) + 1) / (total + 3) for v in (-1, 1)} for r in range(n_rules)]
-    prior, tables = 0.0, []
+    posterior: list[float] = []
+    prior, rates = math.log(GOOD / (1 - GOOD)), [(WRONG, RIGHT)] * n_rules
     for _ in range(ROUNDS):
+        tables = [{0: 0.0, -1: math.log(g / b), 1: math.log((1 - g) / (1 - b))} for g, b in rates]
+        before, posterior = posterior, [1 / (1 + math.exp(-max(-35.0, min(35.0, prior + sum(t[v] for t, v in zip(tables, p, strict=True)))))) for p, _ in patterns]
+        if before and max((abs(x - y) for x, y in zip(before, posterior, strict=True)), default=0.0) < 1e-9:
+            break
         good = sum(q * c for q, (_, c) in zip(posterior, patterns, strict=True))
-        bad = total - good
-        prior = math.log((good + GOOD * total + 1) / (bad + (1 - GOOD) * total + 1))
-        tables = []
+        bad = sum((1 - q) * c for q, (_, c) in zip(posterior, patterns, strict=True))
+        prior = math.log((good + GOOD * MASS) / (bad + (1 - GOOD) * MASS))
+        rates = []
         for r in range(n_rules):
-            table = {0: 0.0}
-            for v in (-1, 1):
-                g = sum(q * c for q, (p, c) in zip(posterior, patterns, strict=True) if p[r] == v)
-                b = sum((1 - q) * c for q, (p, c) in zip(posterior, patterns, strict=True) if p[r] == v)
-                if_good, if_bad = (WRONG, RIGHT) if v < 0 else (overall[r][v], overall[r][v])
-                weight = math.log((g + if_good * (total + 1)) / (good + total + 1)) - math.log((b + if_bad * (total + 1)) / (bad + total + 1))
-                # A vote never speaks against its own side: rules are better than chance by assumption.
-                table[v] = min(weight, 0.0) if v < 0 else max(weight, 0.0)
-            tables.append(table)
-        posterior = [1 / (1 + math.exp(-max(-35.0, min(35.0, prior + sum(t.get(v, 0.0) for t, v in zip(tables, p, strict=True)))))) for p, _ in patterns]
-    return prior, tables
+            seen = {(v, k): 0.0 for v in (-1, 0, 1) for k in (0, 1)}
+            for q, (p, c) in zip(posterior, patterns, strict=True):
+                seen[p[r], 1] += q * c
+                seen[p[r], 0] += (1 - q) * c
+            rates.append(tuple((seen[-1, k] + mean * MASS) / (seen[-1, k] + seen[1, k] + MASS) for k, mean in ((1, WRONG), (0, RIGHT))))
+    return prior, [{0: 0.0, -1: math.log(g / b), 1: math.log((1 - g) / (1 - b))} for g, b in rates]
 
 
 def base_failed() -> Column:
@@ -107,18 +117,22 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with base counts, votes and `quality`, the posterior probability of good quality.
+    """The columns `keep` of docs with base counts, votes (vote_ and the rule's name) and `quality`, the posterior
+    probability of good quality. Columns of `keep` give way to added ones of the same name.
 
-    The rules are weighed over all documents that pass the base filter, which alone depend on them.
-
-    Counts are made once and kept as a narrow table; the votes' patterns, a bounded number, are counted over all rows
-    and weighed on the driver. An empty table gives no rows; a null or empty text has counts of 0.
+    The rules are weighed over all documents that pass the base filter, which alone depend on them. Counts are made once
+    and kept as a narrow table; the votes' patterns, a bounded number, are counted over all rows and weighed on the driver.
+    An empty table gives no rows; a null or empty text has counts of 0; repeated rows count and are judged one by one. A
+    text's counts are made within one row, so a very long text takes one task's memory a few times its size.
     """
-    out = docs.select(*keep, "text")
-    for name, column in text_stats(F.col("text")):
-        out = out.withColumn(name, column)
     votes = rules()
-    out = out.select(*keep, *BASE, *[v.cast("int").alias(f"vote_{k}") for k, v in votes.items()])
+    made = {*BASE, "quality", *(f"vote_{k}" for k in votes)}
+    keep = [c for c in keep if c.lower() not in made]
+    names = [f"__keep{i}" for i in range(len(keep))]
+    out = docs.select(*[docs[c].alias(k) for c, k in zip(keep, names, strict=True)], docs["text"].alias("__source"))
+    for name, column in text_stats(F.col("__source")):
+        out = out.withColumn(name, column)
+    out = out.select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], *BASE, *[v.cast("int").alias(f"vote_{k}") for k, v in votes.items()])
     out = materialize(out, "quality-votes")
     names = [f"vote_{k}" for k in votes]
     patterns = [(tuple(r[:-1]), r[-1]) for r in out.where(~base_failed()).groupBy(*names).count().orderBy(*names).collect()]
@@ -130,7 +144,8 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict on every document: the base counts, base_failed, kept, and the posterior quality."""
+    """A verdict on every document: the base counts, base_failed, kept, and the posterior quality. A null text has counts of
+    0 and fails the base; rows that repeat an id are judged one by one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     judged = judge(docs, ["doc_id"])
     failed = base_failed()

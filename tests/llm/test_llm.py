@@ -428,3 +428,52 @@ def test_clashing_columns_stay(spark):
     out = {r.doc_id: tuple(r) for r in lines.dedup_lines(rows).collect()}
     assert out == {1: (1, "a b c d e f\nx y", 1, 2, 3)}
     assert {r.doc_id for r in paragraphs.dedup_paragraphs(rows).collect()} == {1, 2}
+
+
+def test_lines_are_decided_on_words(spark):
+    """Words whose 32-bit hashes collide, blanks of every kind, and lines in places that several rows share."""
+    rows = [(1, "w254943 w214580 x y z"), (2, "w267111 w230738 x y z"), (3, "a\tb\rc\x0bd\x0ce"), (4, "e d c  b a"), (5, "\t \x0b"), (6, "a\x85b c d")]
+    out = {(r.doc_id, r.line_no): r["first"] and r["first"].doc_id for r in lines.judged_lines(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert out == {(1, 0): None, (2, 0): None, (3, 0): None, (4, 0): 3, (6, 0): None}
+
+
+def simulated_votes(n, rates, seed):
+    """Vote patterns of n documents, a tenth of them bad; rates: each rule's (votes at all, bad if good, bad if bad)."""
+    rng = random.Random(seed)
+    votes = collections.Counter()
+    for _ in range(n):
+        bad = rng.random() < 0.1
+        votes[tuple(0 if rng.random() > some else -1 if rng.random() < (if_bad if bad else if_good) else 1 for some, if_good, if_bad in rates)] += 1
+    return sorted(votes.items())
+
+
+def test_quality_rates_are_estimated():
+    rates = [(0.9, 0.01, 0.9), (0.8, 0.03, 0.8), (1.0, 0.02, 0.6), (0.7, 0.05, 0.7), (1.0, 0.2, 0.2)]
+    prior, tables = quality.fit(simulated_votes(20_000, rates, 1), len(rates))
+    assert abs(1 / (1 + np.exp(-prior)) - 0.9) < 0.05
+    for table, (_, if_good, if_bad) in zip(tables, rates, strict=True):
+        # Both rates follow from the two weights.
+        g, b = np.exp(table[-1]), np.exp(table[1])
+        found_bad = (1 - b) / (g - b) if abs(g - b) > 1e-9 else 0.2
+        if if_good != if_bad:
+            assert abs(found_bad - if_bad) < 0.05 and abs(g * found_bad - if_good) < 0.05
+    assert abs(tables[-1][-1]) < 0.3 and abs(tables[-1][1]) < 0.3  # the rule that votes at random
+    one_bad = prior + tables[2][-1] + sum(tables[k][1] for k in (0, 1, 3))
+    assert one_bad > 0  # outvoted
+    assert quality.fit([], 3)[0] > 0
+
+
+def test_quality_verdicts(spark, sf_dir):
+    rows = QUERIES["op8_quality"](spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        assert r.n_words == len(words_of(texts[r.doc_id]))
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert r.kept == (not r.base_failed and r.quality >= 0.5)
+    judged = {r.doc_id: r for r in quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ["doc_id"]).collect()}
+    passed = [r for r in judged.values() if r.n_words >= 20 and 100 * r.n_repeat_words <= 30 * r.n_words]
+    bad = [sum(v < 0 for c, v in r.asDict().items() if c.startswith("vote_")) for r in passed]
+    assert any(n and r.quality >= 0.5 for n, r in zip(bad, passed, strict=True)) and any(r.quality < 0.5 for r in passed)
+    clash = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, n_words int, quality int")
+    assert quality.judge(clash, clash.columns).collect()[0].n_words == 2
