@@ -68,15 +68,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables of materialize() that nothing will read again, and lets Spark's cleaner free the shuffles of the jobs
-    that are done: it does so when the driver has collected the plans that held them, here every few seconds."""
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark's cleaner free the shuffles of jobs that are done: it does when the driver has collected their plans."""
     global _collected
+    spark.sparkContext._jvm.System.gc()
+    _collected = time.monotonic()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing will read again and, every few seconds, the shuffles of jobs that are done."""
     for table in tables:
         _delete(table.sparkSession, table._scratch)
     if tables and time.monotonic() - _collected > 3:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
-        _collected = time.monotonic()
+        collect_garbage(tables[0].sparkSession)
 
 
 def give_back() -> None:

@@ -167,10 +167,11 @@ def match(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None)
     Texts and items are compared in normalised form. An item of m characters may differ by ERROR_RATE * m edits: it is cut
     into one piece more than that, every exact occurrence of a piece in the text opens a window, and windows are verified
     with Myers' recurrence. Overlapping windows are merged, so a text is verified at most once for each item. A null or
-    empty text holds nothing.
+    empty text holds nothing; repeated rows have the same hits; a column `hits` of docs gives way. The items go to the
+    executors in blocks of bounded size and each block is one pass over the texts, so time grows with the benchmark.
     """
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "hits"]
     blocks = [(uuid.uuid4().hex, spark.sparkContext.broadcast(items)) for items in benchmark_blocks(benchmark)]
     out, names = docs.select(*dict.fromkeys([*keep, "text"])), [f"__hits{i}" for i in range(len(blocks))]
     for i, (token, shared) in enumerate(blocks):
@@ -187,7 +188,8 @@ def match(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row (doc_id, item_id, distance, budget) for each document and benchmark item that it contains."""
+    """A row (doc_id, item_id, distance, budget) for each document and benchmark item that it contains; none for null or
+    empty texts. Rows that repeat an id give a row each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hits = match(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
     return hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.distance", "hit.budget")

@@ -355,7 +355,8 @@ def encode(docs: DataFrame, keep: list[str] | None = None, path: str = MODEL_PAT
 
     A null text has null ids, no tokens and a null round trip; an empty text has an empty list. A text with the blank mark
     U+2581 decodes to one with spaces in its place, so its round_trip is false. The vocabulary (a few MB at most) is
-    broadcast.
+    broadcast. Columns of docs with these names give way; repeated rows get equal ids. A word is encoded character by
+    character, all words of one length at once, so a single word of many thousand characters takes seconds.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -377,6 +378,6 @@ def encode(docs: DataFrame, keep: list[str] | None = None, path: str = MODEL_PAT
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids: doc_id, n_tokens, ids, round_trip."""
+    """Every document's ids: doc_id, n_tokens, ids, round_trip. A null text has null ids; repeated rows are encoded alike."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encode(docs, ["doc_id"]).select("doc_id", "n_tokens", "ids", "round_trip")

@@ -1,11 +1,16 @@
-"""Surrogates for personal data: keyed, of the same kind and format, distinct and consistent; DataFrame operations only."""
+"""Surrogates for personal data: keyed, of the same kind and format, distinct and consistent; DataFrame operations only.
+
+Names are found behind a title. What a text calls a person behind a title it may call them without one: every word of a name
+that was found is replaced wherever it stands in that text. A word of a name has one surrogate in all texts, whatever title
+stands before it; the gender that it shows is the one that most titles before it as a first name tell.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import drop, materialize
 
 #: Titles by the gender they tell, and the letters that names are made of, by script.
 MALE_TITLES = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος")
@@ -21,11 +26,11 @@ PATTERNS = {
     "secret": r"(?i:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?\"?[A-Za-z0-9_/+-]{8,}\"?",
     "access_key": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "name": rf"(?<!\w)(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\w)",
+    "name": rf"(?<!\w)(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _ROUNDS = 20
@@ -47,18 +52,18 @@ def parts(mention: Column, kind: Column) -> Column:
     """What of a mention is replaced as one: arrays of structs (kind, value), so that mentions of one thing share values.
 
     Digits of a phone or card number whatever their grouping; an address's local part and domain in lower case; a secret
-    without the word before it; each word of a name, with the gender that its title tells.
+    without the word before it; each word of a name, whatever its case, with the gender that its title tells of a first name.
     """
-    one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value")))
+    one = lambda k, v: F.array(F.struct(k.alias("kind"), v.alias("value"), F.lit("").alias("gender")))
     digits = F.regexp_replace(mention, r"\D", "")
     names = F.regexp_extract_all(F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", ""), F.lit(r"\p{L}+"), F.lit(0))
-    gender = F.concat(F.lit("name"), _title_gender(mention))
+    gender = _title_gender(mention)
     return (
         F.when(kind.isin("phone", "card", "ssn"), one(kind, digits))
         .when(kind == "email", one(kind, F.lower(mention)))
         .when(kind == "secret", one(kind, F.regexp_extract(mention, r"([A-Za-z0-9_/+-]{8,})\"?$", 1)))
-        # The last word is the family name, which tells no gender and is shared with mentions under other titles.
-        .when(kind == "name", F.transform(names, lambda w, i: F.struct(F.when(i == F.size(names) - 1, F.lit("family")).otherwise(gender).alias("kind"), w.alias("value"))))
+        # The last word is the family name, or may be, and so tells no gender.
+        .when(kind == "name", F.transform(names, lambda w, i: F.struct(F.lit("name").alias("kind"), F.initcap(F.lower(w)).alias("value"), F.when(i == F.size(names) - 1, "").otherwise(gender).alias("gender"))))
         .otherwise(one(kind, mention))
     )
 
@@ -103,7 +108,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Colu
     out = swapped
     for known, made in (
         ("email", address), ("ip", F.concat_ws(".", *[octet(k) for k in range(4)])), ("phone", phone), ("card", card), ("access_key", F.concat(F.lit("AKIA"), F.substring(swapped, 5, 16))),
-        ("iban", F.concat(F.substring(value, 1, 2), from_third(swapped))), ("namem", scripts("m")), ("namef", scripts("f")), ("name", scripts("")), ("family", scripts("")),
+        ("iban", F.concat(F.substring(value, 1, 2), from_third(swapped))), ("namem", scripts("m")), ("namef", scripts("f")), ("name", scripts("")),
     ):
         out = F.when(kind == known, made).otherwise(out)
     return out
@@ -118,58 +123,89 @@ def render(mention: Column, kind: Column, made: Column) -> Column:
     secret = F.concat(F.regexp_replace(mention, r"[A-Za-z0-9_/+-]{8,}\"?$", ""), first, F.when(mention.endswith('"'), '"').otherwise(""))
     joints = F.split(F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", ""), r"\p{L}+")
     title = F.regexp_extract(mention, rf"^(?:{_TITLE})\.? ", 0)
-    name = F.concat(title, F.array_join(F.zip_with(joints, made, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), ""))
+    words = F.regexp_extract_all(F.regexp_replace(mention, rf"^(?:{_TITLE})\.? ", ""), F.lit(r"\p{L}+"), F.lit(0))
+    cased = F.zip_with(words, made, lambda w, new: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(new)).otherwise(new))
+    name = F.concat(title, F.array_join(F.zip_with(joints, cased, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), ""))
     email = F.when(mention == F.upper(mention), F.upper(first)).otherwise(first)
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", email).when((kind == "secret") & (value != ""), secret).when(kind == "name", name).otherwise(first)
 
 
 def surrogate_table(values: DataFrame, secret: str) -> DataFrame:
-    """(kind, value, made) for the distinct (kind, value) of `values`.
+    """A table (kind, value, made) for the distinct (kind, value) of `values`.
 
     A surrogate that two values share, or that is itself a value of the corpus, is made anew for all but the least value,
     with the next attempt, until none is left; so different values stay different and nobody gets another's data.
     """
     known = materialize(values.select("kind", "value").distinct().withColumn("attempt", F.lit(0)), "pii-values")
     for _ in range(_ROUNDS):
-        made = known.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), secret))
-        made = materialize(made, "pii-surrogates")
+        made = materialize(known.withColumn("made", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), secret)), "pii-surrogates")
+        drop(known)
         shared = made.groupBy("made").agg(F.count("*").alias("n"), F.min(F.struct("value", "kind")).alias("least")).where("n > 1").select("made", "least")
         real = made.select(F.col("value").alias("made")).distinct().withColumn("real", F.lit(True))
         marks = materialize(made.select("made").distinct().join(shared, "made", "left").join(real, "made", "left").where("least is not null or real"), "pii-collisions")
         if marks.isEmpty():
-            return made.select("kind", "value", "made")
+            drop(marks)
+            return made
         again = F.coalesce("real", F.lit(False)) | (F.col("least").isNotNull() & (F.col("least") != F.struct("value", "kind")))
         known = materialize(made.join(marks, "made", "left").select("kind", "value", (F.col("attempt") + again.cast("int")).alias("attempt")), "pii-values")
+        drop(made, marks)
     raise RuntimeError(f"surrogates still collide after {_ROUNDS} attempts")
 
 
+def _name_words(mentions: Column) -> Column:
+    """The distinct words of the names among a text's mentions, as written and in capitals."""
+    titled = F.filter(mentions, lambda m: m.rlike(rf"^(?:{_TITLE})\.? \p{{Lu}}"))
+    words = F.flatten(F.transform(titled, lambda m: F.regexp_extract_all(F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", ""), F.lit(r"\p{L}+"), F.lit(0))))
+    capital = F.transform(words, lambda w: F.initcap(F.lower(w)))
+    return F.array_distinct(F.concat(words, capital, F.transform(words, lambda w: F.upper(w))))
+
+
 def replace_personal_data(docs: DataFrame, secret: str) -> DataFrame:
     """Documents with surrogates for the personal data in `text`, and n_entities, how many mentions were replaced.
 
-    One value has one surrogate in all documents. Only texts with a mention are shuffled; a null or empty text stays as it
-    is, with no mentions. Rows that repeat an id and text get the same result.
+    One value has one surrogate in all documents. Texts are searched once; only those with a mention are shuffled. A null or
+    empty text stays as it is, with no mentions. Rows that repeat an id and text get the same result, null ids included. A
+    column n_entities of docs gives way to the new one. An empty table gives no rows; a text is searched within one row,
+    whatever its length.
     """
-    mark = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__mentions", F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>")))
-    with_any = mark.where(F.size("__mentions") > 0)
-    rows = with_any.select("doc_id", "__hash", F.posexplode("__mentions").alias("i", "mention")).groupBy("doc_id", "__hash", "i").agg(F.first("mention").alias("mention"))
-    rows = rows.withColumn("kind", _kind(F.col("mention"))).withColumn("parts", parts(F.col("mention"), F.col("kind")))
-    rows = materialize(rows, "pii-mentions")
-    pieces = rows.select("mention", F.posexplode("parts").alias("k", "part")).groupBy("mention", "k").agg(F.first("part").alias("part")).select("mention", "k", "part.*")
+    keep = [c for c in docs.columns if c.lower() != "n_entities"]
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.struct(*keep).alias("row"))
+    marked = materialize(rows.withColumns({"hash": F.xxhash64("row.text"), "mentions": F.coalesce(F.regexp_extract_all("row.text", F.lit(ANY), F.lit(0)), none)}), "pii-marked")
+    # Where names were found, their words are searched for as well.
+    words = F.col("words")
+    pattern = F.when(F.size(words) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
+    found = marked.where(F.size("mentions") > 0).withColumn("words", _name_words(F.col("mentions"))).withColumn("pattern", pattern)
+    found = found.select("row", "hash", F.regexp_extract_all("row.text", F.col("pattern"), F.lit(0)).alias("mentions"), F.split("row.text", F.col("pattern"), -1).alias("between"))
+    found = materialize(found, "pii-found")
+
+    each = found.select(F.col("row.doc_id").alias("id"), "hash", F.posexplode("mentions").alias("i", "mention")).groupBy("id", "hash", "i").agg(F.first("mention").alias("mention"))
+    each = materialize(each, "pii-mentions")
+    kinds = each.groupBy("mention").agg(F.count("*").alias("n")).withColumn("kind", _kind(F.col("mention")))
+    kinds = materialize(kinds.withColumn("parts", parts(F.col("mention"), F.col("kind"))), "pii-kinds")
+    pieces = kinds.select("mention", "n", F.posexplode("parts").alias("k", "part")).select("mention", "n", "k", "part.*")
+    told = lambda g: F.sum(F.when(F.col("gender") == g, F.col("n")).otherwise(0))
+    genders = pieces.where("kind = 'name'").groupBy("value").agg((told("m") - told("f")).alias("lean"))
+    genders = genders.select("value", F.concat(F.lit("name"), F.when(F.col("lean") > 0, "m").when(F.col("lean") < 0, "f").otherwise("")).alias("named"))
+    pieces = pieces.join(genders, "value", "left").select("mention", "k", "value", F.when(F.col("kind") == "name", F.col("named")).otherwise(F.col("kind")).alias("kind"))
+    pieces = materialize(pieces, "pii-pieces")
     made = surrogate_table(pieces, secret)
     by_mention = pieces.join(made, ["kind", "value"]).groupBy("mention").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "made"))), lambda x: x["made"]).alias("made"))
-    kinds = rows.groupBy("mention").agg(F.first("kind").alias("kind"))
     shown = materialize(kinds.join(by_mention, "mention").select("mention", render(F.col("mention"), F.col("kind"), F.col("made")).alias("shown")), "pii-shown")
-    per_text = rows.join(shown, "mention").groupBy("doc_id", "__hash").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "shown"))), lambda x: x["shown"]).alias("__shown"))
-    per_text = materialize(per_text.withColumnsRenamed({"doc_id": "__id", "__hash": "__h"}), "pii-texts")
-    joined = with_any.join(per_text, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__h")))
-    between = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(between, "__shown", lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
-    changed = joined.withColumn("text", text).withColumn("n_entities", F.size("__mentions").cast("long")).select(*docs.columns, "n_entities")
-    same = mark.where(F.size("__mentions") == 0).select(*docs.columns, F.lit(0).cast("long").alias("n_entities"))
+    drop(kinds, pieces, made)
+    per_text = each.join(shown, "mention").groupBy("id", "hash").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "shown"))), lambda x: x["shown"]).alias("shown"))
+    per_text = materialize(per_text.withColumnsRenamed({"id": "of", "hash": "of_hash"}), "pii-texts")
+    drop(each, shown)
+    joined = found.join(per_text, F.col("row.doc_id").eqNullSafe(F.col("of")) & F.col("hash").eqNullSafe(F.col("of_hash")))
+    text = F.array_join(F.zip_with("between", "shown", lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+    columns = lambda new: [new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in keep]
+    changed = joined.select(*columns(text), F.size("mentions").cast("long").alias("n_entities"))
+    same = marked.where(F.size("mentions") == 0).select(*columns(F.col("row.text")), F.lit(0).cast("long").alias("n_entities"))
     return changed.unionByName(same)
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced: doc_id, text, n_entities."""
+    """Every document with its personal data replaced: doc_id, text, n_entities. Null and empty texts stay as they are; rows
+    that repeat an id and text get the same result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return replace_personal_data(docs, "mirrorfall").select("doc_id", "text", "n_entities")

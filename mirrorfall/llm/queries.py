@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from .decontam import op6_decontam
 from .lines import op7_lines
 from .neardups import op10_neardups
@@ -30,7 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_surrogates": op9_surrogates,
     "op10_neardups": op10_neardups,
-    "pipeline": corpus_pipeline.run,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import map_text, mix, ship, sorted_unique, span_hashes, utf8_parts, word_spans
+from ._shared import give_back, map_text, mix, ship, sorted_unique, span_hashes, utf8_parts, word_spans
 
 #: Feature hash bits; weights and training state are bounded by 2**BITS coordinates.
 BITS = 20
 #: Most labelled documents that the model is fitted on.
 MAX_TRAIN_DOCS = 16_000
+#: Most feature coordinates (four bytes each) of these documents together; those with the smallest id hashes come first.
+MAX_TRAIN_FEATURES = 48 << 20
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 1.0
 
@@ -68,7 +71,8 @@ def fit(samples: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fits the model on at most `max_docs` documents with a label (doc_id, toxic), those with the smallest id hashes.
+    """Fits the model on at most `max_docs` documents with a label (doc_id, toxic), those with the smallest id hashes, and of
+    them on as many as have MAX_TRAIN_FEATURES coordinates together.
 
     Repeated label rows count as toxic if one is; of documents that repeat an id, the greatest text counts. Rows without
     id or label are left out; with no labelled document at all, every score is 0.5.
@@ -78,32 +82,55 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) ->
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples, marks, keys = [], [], []
+        samples, marks, room = [], [], MAX_TRAIN_FEATURES
         for batch in batches:
+            toxic = batch.column(2).to_pylist()
             for first, last, rows, buckets in features(batch.column(1)):
+                if room <= 0:
+                    continue
                 pairs = sorted_unique((rows << BITS) | buckets)
-                samples += [x.astype(np.int32) for x in np.split(pairs & ((1 << BITS) - 1), np.searchsorted(pairs >> BITS, np.arange(1, last - first)))]
-            keys += batch.column(0).to_pylist()
-            marks += batch.column(2).to_pylist()
+                bounds = np.searchsorted(pairs >> BITS, np.arange(last - first + 1))
+                fit_in = max(1, int(np.searchsorted(bounds, room, "right")) - 1)  # whole documents; one longer than all room counts alone
+                room = 0 if fit_in < last - first else room - int(bounds[-1])
+                packed = (pairs[: bounds[fit_in]] & ((1 << BITS) - 1)).astype(np.int32)
+                samples += [packed[a:b] for a, b in zip(bounds[:fit_in], bounds[1 : fit_in + 1], strict=True)]
+                marks += toxic[first : first + fit_in]
         if samples:
-            order = np.argsort(np.array(keys, np.int64), kind="stable")  # the same model for any dealing of the rows
-            used, w, bias = fit([samples[i] for i in order], np.array(marks)[order])
+            used, w, bias = fit(samples, np.array(marks))
+            samples.clear()
             yield pa.RecordBatch.from_pydict({"used": [used.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias]})
+        give_back()
 
-    got = sample.repartition(1).mapInArrow(run, "used binary, w binary, bias double").collect()
+    # One task holds the sample, in the order of the id hashes: the same model for any dealing of the rows.
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    got = sample.mapInArrow(run, "used binary, w binary, bias double").collect()
     if not got:
         return np.zeros(0, np.int32), np.zeros(0), 0.0
     return np.frombuffer(got[0].used, np.int32), np.frombuffer(got[0].w), got[0].bias
 
 
+_dense: dict[str, np.ndarray] = {}
+
+
+def _weights(token: str, used: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """This worker's table of a model's weights; it keeps one model's at a time."""
+    if token not in _dense:
+        _dense.clear()
+        _dense[token] = np.zeros(1 << BITS)
+        _dense[token][used] = w
+    return _dense[token]
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """Adds each whole text's probability of being toxic. A null or empty text has the score of the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Adds each whole text's probability of being toxic as `name`; a column that has this name gives way.
+
+    A null or empty text has the score of the bias alone; equal texts have equal scores; an empty table gives no rows.
+    """
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def compute(column: pa.Array) -> list[pa.Array]:
         used, w, bias = shared.value
-        dense = np.zeros(1 << BITS)
-        dense[used] = w
+        dense = _weights(token, used, w)
         total = np.full(len(column), bias)
         for first, last, rows, buckets in features(column):
             live = dense[buckets] != 0

@@ -477,3 +477,44 @@ def test_quality_verdicts(spark, sf_dir):
     assert any(n and r.quality >= 0.5 for n, r in zip(bad, passed, strict=True)) and any(r.quality < 0.5 for r in passed)
     clash = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, n_words int, quality int")
     assert quality.judge(clash, clash.columns).collect()[0].n_words == 2
+
+
+def test_long_lines_lose_no_pair(spark):
+    rng = random.Random(77)
+    texts = []
+    for n in (40, 90, 200, 500):
+        vocabulary = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        for k in range(8):
+            words = list(dict.fromkeys(vocabulary))
+            for _ in range(rng.randrange(0, max(2, len(words) // 8))):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
+            rng.shuffle(words)
+            texts.append(" ".join(words))
+    found = {(r.a, r.b) for r in lines.candidates(spark.createDataFrame(list(enumerate(texts)), "id long, line string")).collect()}
+    sets = [frozenset(t.split()) for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(want) > 20 and want <= found
+
+
+def test_surrogates_follow_a_person(spark):
+    rows = [
+        (1, "Mr. Adam Smith and Dr. Adam Smith met. Mr. Adam left. Adam Smith spoke. SMITH! Smithson stays."),
+        (2, "Prof. MÜLLER rang 212-555-0199 and (212) 555-0199."),
+        (3, "Adam Smith is not named behind a title here."),
+        (4, "Mrs. Anna Smith"),
+    ]
+    out = {r.doc_id: (r.text, r.n_entities) for r in pii.replace_personal_data(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_entities int"), "key").collect()}
+    one = re.fullmatch(r"Mr\. (\w+) (\w+) and Dr\. \1 \2 met\. Mr\. \1 left\. \1 \2 spoke\. (\w+)! Smithson stays\.", out[1][0])
+    assert one and one[3] == one[2].upper() and not {"Adam", "Smith"} & set(one.groups())
+    assert re.fullmatch(r"Prof\. [A-Z]+ rang (\d{3})-(\d{3})-(\d{4}) and \(\1\) \2-\3\.", out[2][0]) and "555" not in out[2][0] and "M" + "ÜLLER" not in out[2][0]
+    assert out[3] == (rows[2][1], 0) and out[4][0].split()[2] == one[2] and out[1][1] == 6
+
+
+def test_clashing_columns_give_way(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g", 1, 2, 3, 4), (2, None, 5, 6, 7, 8)], "doc_id long, text string, hits int, ids int, score int, n_entities int")
+    bench = spark.createDataFrame([(5, "unrelated words that are long enough")], "item_id long, text string")
+    model = (np.zeros(0, np.int32), np.zeros(0), 0.0)
+    for out, name, n in ((decontam.match(rows, bench), "hits", 6), (pieces.encode(rows), "ids", 8), (toxicity.score(rows, model), "score", 6), (pii.replace_personal_data(rows, "k"), "n_entities", 6)):
+        assert len(out.columns) == len(set(out.columns)) == n and name in out.columns and out.count() == 2
+    odd = spark.createDataFrame([(1, "a b c d e f\nx y", 9, 8), (2, "a b c d e f", 7, 6)], "doc_id long, text string, __lines int, __gone int")
+    assert [tuple(r) for r in lines.dedup_lines(odd).collect()] == [(1, "a b c d e f\nx y", 9, 8)]
