@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import time
@@ -69,9 +70,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark's cleaner free the shuffles of jobs that are done: it does when the driver has collected their plans."""
+    """Lets Spark's cleaner free the shuffles of jobs that are done: it does when the driver has collected their plans, for
+    which one collection is not enough."""
     global _collected
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     _collected = time.monotonic()
 
 
@@ -79,7 +84,7 @@ def drop(*tables: DataFrame) -> None:
     """Deletes tables of materialize() that nothing will read again and, every few seconds, the shuffles of jobs that are done."""
     for table in tables:
         _delete(table.sparkSession, table._scratch)
-    if tables and time.monotonic() - _collected > 3:
+    if tables and time.monotonic() - _collected > 5:
         collect_garbage(tables[0].sparkSession)
 
 

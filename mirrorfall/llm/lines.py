@@ -1,20 +1,22 @@
 """Line deduplication as an exact set-similarity self-join, with DataFrame operations only.
 
 1. Equal lines are merged to one, named by a number, with its first place and how often it occurs.
-2. A line's distinct words are ordered by rarity. Two lines match only if their prefixes share a word; of pairs that share
-   one, those stay whose lengths allow a match, whose words behind the shared one still suffice, and whose parity sketches
-   (64 bits, each word flips one) differ in no more bits than the sets may differ in words. Words stand here as hashes,
-   which can only add pairs.
+2. A line's distinct words are ordered by rarity. Two lines match only if their prefixes share a word, or more of them in
+   prefixes of long lines, which are longer by as many words; of pairs that do, those stay whose lengths allow a match,
+   whose words behind the shared one still suffice, and whose parity sketches (64 bits, each word flips one) differ in no
+   more bits than the sets may differ in words. Words stand here as hashes, which can only add pairs.
 3. Pairs are decided on the words themselves, and each line takes its earliest match.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import drop, fresh, materialize
+from ._shared import collect_garbage, drop, fresh, materialize
 
 #: Lines match where 100 * |A and B| >= PERCENT * |A or B| over their sets of words.
 PERCENT = 80
@@ -69,31 +71,39 @@ def _need(n: Column, m: Column) -> Column:
     return F.call_function("div", PERCENT * (n + m) + F.lit(100 + PERCENT - 1), F.lit(100 + PERCENT))
 
 
+def _shares(n: Column) -> Column:
+    """How many words prefixes share at least, if both lines have n words and more: one, and one for each 16 words beyond 32."""
+    return 1 + F.call_function("div", F.greatest(n - 32, F.lit(0)), F.lit(16))
+
+
 def candidates(firsts: DataFrame) -> DataFrame:
     """Pairs (a, b) of numbers of `firsts` (id, line) that pass all filters, a < b."""
-    levels = F.lit(rarity_levels(firsts))
-    level = lambda h: F.ascii(F.substring(levels, _bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+    levels = F.from_json(F.lit(json.dumps(list(rarity_levels(firsts)))), "array<int>")  # one constant
     low = F.lit((1 << _HASH_BITS) - 1)
     # Rarer words first; equal levels in the order of the hashes, equal hashes in any.
-    code = lambda w: F.shiftleft(level(F.xxhash64(w)), _HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(low))
-    coded = firsts.select("id", F.sort_array(F.transform(F.array_distinct(_words(F.col("line"))), code)).alias("codes"))
+    code = lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(low))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    coded = firsts.select("id", F.sort_array(F.transform(hashes, code)).alias("codes"))
     n = F.size("codes")
-    prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1
-    flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")))  # noqa: E731  a shift takes the low six bits
-    keys = coded.select(F.posexplode(F.slice("codes", F.lit(1), prefix)).alias("pos", "word"), "id", n.alias("n"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("sketch"))
+    prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + _shares(n).cast("int")
+    flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")))
+    # Made before lines fan out, so once for each line.
+    signed = coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("sketch"))
+    keys = signed.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sketch")
     keys = keys.select("word", "id", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
     pos_of = lambda x: F.shiftright(f"{x}.pn", 32)
     an, bn, ap, bp = n_of("a"), n_of("b"), pos_of("a"), pos_of("b")
-    need = _need(an, bn)
+    need, shares = _need(an, bn), F.least(_shares(an), _shares(bn))
     close = (
         (F.col("a.id") < F.col("b.id"))
         & (100 * F.least(an, bn) >= PERCENT * F.greatest(an, bn))
-        & (F.least(an - ap, bn - bp) >= need)
+        & (F.least(an - ap, bn - bp) >= need - (shares - 1))
         & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= an + bn - 2 * need)
     )
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), shares.alias("shares"))
+    return met.groupBy("a", "b", "shares").count().where("count >= shares").select("a", "b")
 
 
 def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
@@ -107,7 +117,9 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     # Copies meet here after each task has merged its own.
     merged = lines.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     firsts = materialize(merged.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "copies", F.col("row.own").cast(place_type(docs, ids)).alias("own"), F.col("row.line").alias("line")), "first-lines")
+    collect_garbage(docs.sparkSession)
     pairs = materialize(candidates(firsts.select("id", "line")), "line-pairs")
+    collect_garbage(docs.sparkSession)
     side = lambda x: firsts.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_own != b_own")
     met = met.withColumns({f"{x}_words": F.array_distinct(_words(F.col(f"{x}_line"))) for x in "ab"})
