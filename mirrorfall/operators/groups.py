@@ -21,6 +21,15 @@ def prune_singletons(df: DataFrame, keys: list[str], wide: bool = False) -> Data
     return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n >= 2").drop("__n")
 
 
+def _prune_null_safe(df: DataFrame, keys: list[str]) -> DataFrame:
+    """As prune_singletons for wide rows, where nulls in keys are equal."""
+    repeated = df.groupBy(*keys).count().where("count >= 2").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(repeated, same, "left_semi")
+
+
 def prune_optional(df: DataFrame, keys: list[str], fingerprint: str) -> DataFrame:
     """Rows without a fingerprint, and those whose fingerprint has a partner under the same keys."""
     n = F.count("*").over(Window.partitionBy(*keys, fingerprint))
@@ -39,10 +48,9 @@ def content_hash(content: Column) -> Column:
 def exact_groups(inventory: DataFrame, content: str = "content") -> DataFrame:
     """size, content_hash, n_files, files (sorted paths): one row a group of two or more.
 
-    Sizes are counted before anything is hashed; hashing runs on the scan's side, so the shuffle carries digests only.
+    Hashing runs on the scan's side, so no shuffle carries content.
     """
-    alike = prune_singletons(inventory.select("path", "size", content), ["size"], wide=True)
-    hashed = alike.select("path", "size", content_hash(F.col(content)).alias("content_hash"))
+    hashed = inventory.select("path", "size", content_hash(F.col(content)).alias("content_hash"))
     return hashed.groupBy("size", "content_hash").agg(F.count("*").alias("n_files"), F.sort_array(F.collect_list("path")).alias("files")).where("n_files >= 2")
 
 
@@ -57,11 +65,18 @@ def members(groups: DataFrame) -> DataFrame:
 
 
 def tiered(inventory: DataFrame, content: str = "content", tier1_bytes: int = 4096, floor: int = TIER2_FLOOR, window: int = WINDOW) -> dict[str, DataFrame]:
-    """Survivors of each tier: size, head, sampled, full. Every tier reads what survived the one before."""
-    size = prune_singletons(inventory, ["size"], wide=True)
-    head = prune_singletons(size.withColumn("t1", F.sha2(head_slice(F.col(content), tier1_bytes), 256)), ["size", "t1"])
-    sampled = prune_singletons(head.withColumn("t2", F.sha2(sampled_slice(F.col(content), F.col("size"), floor, window), 256)), ["size", "t1", "t2"])
-    full = prune_singletons(sampled.withColumn("t3", F.sha2(F.col(content), 256)), ["size", "t3"])
+    """Survivors of each tier: size, head, sampled, full, with the tiers' hashes t1, t2, t3 and without content.
+
+    All hashes are made in one pass at the scan, so no shuffle carries content. A tier's rows are counted by their keys with
+    partial aggregation and joined, so identical files don't meet in one task.
+    """
+    c = F.col(content)
+    hashes = {"t1": F.sha2(head_slice(c, tier1_bytes), 256), "t2": F.sha2(sampled_slice(c, F.col("size"), floor, window), 256), "t3": F.sha2(c, 256)}
+    rows = inventory.withColumns(hashes).drop(content)
+    size = prune_singletons(rows, ["size"], wide=True)
+    head = prune_singletons(size, ["size", "t1"], wide=True)
+    sampled = _prune_null_safe(head, ["size", "t1", "t2"])
+    full = prune_singletons(sampled, ["size", "t3"], wide=True)
     return {"size": size, "head": head, "sampled": sampled, "full": full}
 
 
@@ -95,7 +110,7 @@ def inode_groups(inventory: DataFrame) -> DataFrame:
 
 def identity_groups(inventory: DataFrame, content: str = "content") -> DataFrame:
     """Content groups with n_files, unique_inodes and link_equivalent (all names are of one file)."""
-    hashed = prune_singletons(inventory, ["size"], wide=True).select("path", "size", "volume", "file_ref", content_hash(F.col(content)).alias("content_hash"))
+    hashed = inventory.select("path", "size", "volume", "file_ref", content_hash(F.col(content)).alias("content_hash"))
     inode = F.coalesce(F.concat_ws(":", "volume", "file_ref"), F.col("path"))
     out = hashed.groupBy("size", "content_hash").agg(F.count("*").alias("n_files"), F.count_distinct(inode).alias("unique_inodes"), F.min("path").alias("first_path"))
     return out.where("n_files >= 2").withColumn("link_equivalent", F.col("unique_inodes") == 1)

@@ -12,9 +12,9 @@ from .tables import kept
 def hamming_pairs(rows: DataFrame, tau: int, key: str = "id", fingerprint: str = "fp") -> DataFrame:
     """Pairs a < b whose 64-bit fingerprints differ in at most `tau` bits, with their distance; exact.
 
-    Of tau + 1 bands of the bits at least one is equal in such a pair, so rows meet on (band, its bits) only; equal
-    fingerprints are first collapsed, and their classes' pairs follow from distance 0. For large tau bands become narrow:
-    past 12 the bands hold five bits and less, and the join approaches all pairs.
+    Of tau + 1 bands of the bits at least one is equal in such a pair, so rows meet on (band, its bits) only. For large tau
+    bands become narrow: past 12 the bands hold five bits and less, and the join approaches all pairs. Every pair is told,
+    so rows with one fingerprint give the square of their number; hamming_links gives what components need in proportion.
     """
     if not 0 <= tau < 64:
         raise ValueError("tau must be within 0 and 63")
@@ -28,6 +28,14 @@ def hamming_pairs(rows: DataFrame, tau: int, key: str = "id", fingerprint: str =
     return a.join(b, same).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), close.cast("bigint").alias("distance")).distinct()
 
 
+def hamming_links(rows: DataFrame, tau: int, key: str = "id", fingerprint: str = "fp") -> DataFrame:
+    """Links (a, b) with the components of hamming_pairs: equal fingerprints are collapsed to their least key, to which each
+    of their rows is linked, and only distinct fingerprints are joined."""
+    firsts = rows.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("fp")).agg(F.min(key).alias("id"))
+    stars = rows.join(firsts.withColumnsRenamed({"fp": "__fp", "id": "__id"}), F.col(fingerprint) == F.col("__fp")).where(F.col(key) != F.col("__id"))
+    return stars.select(F.col("__id").alias("a"), F.col(key).alias("b")).unionByName(hamming_pairs(firsts, tau).select("a", "b"))
+
+
 def array_hamming_pairs(rows: DataFrame, tau: int, key: str = "id", fingerprint: str = "fp") -> DataFrame:
     """Pairs a < b of integer arrays whose mean chunk distance is at most `tau`; exact.
 

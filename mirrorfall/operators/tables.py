@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir (set here where it is unset) and read back."""
+    """df written as Parquet under spark.checkpoint.dir and read back. Where that is unset, a local session gets a temporary
+    folder and a cluster a folder in its warehouse."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="mirrorfall-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        root = tempfile.mkdtemp(prefix="mirrorfall-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/mirrorfall-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/mirrorfall-step-{uuid.uuid4().hex[:12]}"
 

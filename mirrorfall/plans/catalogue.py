@@ -244,9 +244,14 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", metrics.text_like(F.substring("html", 1, 4096)).alias("is_text"))
 
 
-@query("human_sizes", f"WITH {INV} SELECT path, CASE WHEN size >= 1024 THEN printf('%.2f', (size * 100 + 512) // 1024 / 100.0::DOUBLE) || ' KiB' ELSE size || ' B' END AS shown FROM inv WHERE size < 1048576")
+_HUMAN = "CASE WHEN x >= 1099511627776 THEN printf('%.2f', (x * 100 + 549755813888) // 1099511627776 / 100.0::DOUBLE) || ' TiB' WHEN x >= 1073741824 THEN printf('%.2f', (x * 100 + 536870912) // 1073741824 / 100.0::DOUBLE) || ' GiB' WHEN x >= 1048576 THEN printf('%.2f', (x * 100 + 524288) // 1048576 / 100.0::DOUBLE) || ' MiB' WHEN x >= 1024 THEN printf('%.2f', (x * 100 + 512) // 1024 / 100.0::DOUBLE) || ' KiB' ELSE x || ' B' END"
+
+
+@query("human_sizes", f"WITH {INV}, s AS (SELECT path, 0 AS k, size AS x FROM inv UNION ALL SELECT path, 1, size * 1048576 FROM inv) SELECT path, k::BIGINT AS k, {_HUMAN} AS shown FROM s")
 def _(spark, d):
-    return inventory(spark, d).where("size < 1048576").select("path", paths.human_size(F.col("size")).alias("shown"))
+    inv = inventory(spark, d)
+    rows = inv.select("path", F.lit(0).cast("bigint").alias("k"), F.col("size").alias("x")).unionByName(inv.select("path", F.lit(1).cast("bigint").alias("k"), (F.col("size") * (1 << 20)).alias("x")))
+    return rows.select("path", "k", paths.human_size(F.col("x")).alias("shown"))
 
 
 # Keepers, references, actions
@@ -356,7 +361,7 @@ r3 AS (SELECT e.a AS id, least(min(x.l), any_value(y.l)) AS l FROM e JOIN r2 x O
 
 def _clusters(spark, d):
     rows = fingerprints(spark, d)
-    return rows, similarity.components(similarity.hamming_pairs(rows, 5))
+    return rows, similarity.components(similarity.hamming_links(rows, 5))
 
 
 @query("hamming_components", f"WITH {_COMPONENTS} SELECT id, component FROM comp")
@@ -377,7 +382,11 @@ def _(spark, d):
 
 
 
-@query("array_hamming_pairs")
+@query(
+    "array_hamming_pairs",
+    """WITH v AS (SELECT vec_id AS id, [(round(embedding[i * 8 + 1] * 1000)::INT & 1023) FOR i IN range(8)] AS fp FROM embeddings), r AS (SELECT * FROM v UNION ALL SELECT id + 1000000, [xor(x, 1) FOR x IN fp] FROM v WHERE id % 7 = 0),
+p AS (SELECT a.id AS a, b.id AS b, list_sum([bit_count(xor(a.fp[k], b.fp[k])) FOR k IN range(1, 9)])::DOUBLE / 8 AS distance FROM r a JOIN r b ON a.id < b.id) SELECT a, b, distance FROM p WHERE distance <= 1""",
+)
 def _(spark, d):
     vectors = table(spark, d, "embeddings")
     chunk = lambda i: F.round(F.get("embedding", i * 8) * 1000).cast("int").bitwiseAND(F.lit(1023))
@@ -630,7 +639,7 @@ def _(spark, d):
     return corpora.result_digest(groups.exact_groups(inventory(spark, d)).select(F.col("n_files").alias("n"), F.array_join("files", "|").alias("members")))
 
 
-@query("pseudo_sample")
+@query("pseudo_sample", "WITH v AS (SELECT i AS id, ('0x' || substr(sha256('sample|seed|' || i), 1, 12))::BIGINT % 1000 AS value FROM range(264) t(i)) SELECT min(id)::BIGINT AS k, value FROM v GROUP BY value ORDER BY k LIMIT 50")
 def _(spark, d):
     return corpora.sample(spark, "seed", 1000, 50)
 
