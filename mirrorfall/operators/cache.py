@@ -29,6 +29,14 @@ def cache_lookup(inventory: DataFrame, cache: DataFrame, keys: list[str] = KEY)
     return out.withColumns(tiers).select(*inventory.columns, "outcome", *tiers)
 
 
+def with_identity(inventory: DataFrame) -> DataFrame:
+    """Fills the parts of the key that a file system didn't give: one name for unknown volumes, 60 bits of the path's digest for a
+    null or zero file_ref."""
+    made = F.conv(F.substring(F.sha2("path", 256), 1, 15), 16, 10).cast("bigint")
+    known = F.coalesce("file_ref", F.lit(0)) != 0
+    return inventory.withColumns({"volume": F.coalesce("volume", F.lit("_unknown_volume")), "file_ref": F.when(known, F.col("file_ref")).otherwise(made)})
+
+
 def outcome_counts(looked_up: DataFrame) -> DataFrame:
     return looked_up.groupBy("outcome").agg(F.count("*").alias("n"))
 

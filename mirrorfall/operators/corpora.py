@@ -25,6 +25,24 @@ def dupsets(plan: DataFrame) -> DataFrame:
     return by.select("size", "content_id", "n", F.array_join("m", ",").alias("members"))
 
 
+def class_stats(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Size classes (file_size, file_count, pairs, big_sets, big_size) with dups, originals, leaves, dup_bytes and total_bytes."""
+    c = F.col
+    dups = c("pairs") + c("big_sets") * F.greatest(c("big_size") - 1, F.lit(0))
+    return classes.withColumn("dups", dups.cast("bigint")).withColumns({
+        "originals": (c("file_count") - c("dups")).cast("bigint"), "leaves": (c("file_count") * F.ceil(c("file_size") / leaf)).cast("bigint"),
+        "dup_bytes": (c("dups") * c("file_size")).cast("bigint"), "total_bytes": (c("file_count") * c("file_size")).cast("bigint"),
+    })
+
+
+def reclaimable_fraction(stats: DataFrame) -> DataFrame:
+    return stats.agg((F.sum("dup_bytes").cast("double") / F.sum("total_bytes")).alias("fraction"))
+
+
+def largest_dupset(sets: DataFrame, n: str = "n") -> DataFrame:
+    return sets.agg(F.coalesce(F.max(n), F.lit(0)).cast("bigint").alias("largest"))
+
+
 def audit(plan: DataFrame, hashes: DataFrame) -> DataFrame:
     """content_id, members, missing, distinct_hashes of the sets whose files are missing or disagree."""
     sets = plan.withColumn("__n", F.count("*").over(Window.partitionBy("content_id"))).where("__n >= 2")

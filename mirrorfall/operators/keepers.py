@@ -115,3 +115,42 @@ def undo_rename(paths: DataFrame, existing: DataFrame, suffix: str) -> DataFrame
     plan = paths.select("path", bare.alias("restored")).where("restored is not null")
     taken = existing.select(F.col("path").alias("restored"), F.lit(True).alias("taken")).distinct()
     return plan.join(taken, "restored", "left").select("path", "restored", F.when(F.col("taken"), "refused_collision").otherwise("restore").alias("outcome"))
+
+
+def keeper_first(groups: DataFrame, keeper: str = "keeper") -> DataFrame:
+    """`files` with the keeper and the first file in each other's place; unchanged where the keeper is not among them."""
+    at = F.array_position("files", F.col(keeper))
+    swapped = F.transform("files", lambda x, i: F.when(i == 0, F.col(keeper)).when(i == at - 1, F.get("files", F.lit(0))).otherwise(x))
+    return groups.withColumn("files", F.when(at > 0, swapped).otherwise(F.col("files")))
+
+
+def apply_outcomes(members: DataFrame, group: list[str], outcomes: DataFrame) -> DataFrame:
+    """Members after actions (path, outcome, new_path): renamed ones have their new path; removed and storage_deduplicated ones
+    are gone, and so are groups that fewer than two members are left of."""
+    done = outcomes.select("path", F.col("outcome").alias("__outcome"), F.col("new_path").alias("__new")).dropDuplicates(["path"])
+    left = members.join(done, "path", "left").where(~F.coalesce(F.col("__outcome").isin("removed", "storage_deduplicated"), F.lit(False)))
+    left = left.withColumn("path", F.when(F.col("__outcome") == "renamed", F.col("__new")).otherwise(F.col("path"))).select(*members.columns)
+    big = left.groupBy(*group).agg(F.count("*").alias("__n")).where("__n >= 2").select(*group)
+    return left.join(big, group, "left_semi")
+
+
+def in_drive_scope(members: DataFrame, group: list[str], drive: str | None, references: list[str] = ()) -> DataFrame:
+    """Members of the groups that have one under the drive's root or under a reference root; all without a drive."""
+    if drive is None:
+        return members
+    inside = F.lit(False)
+    for root in [drive, *references]:
+        inside = inside | under_root(F.col("path"), F.lit(root))
+    return members.join(members.where(inside).select(*group).distinct(), group, "left_semi")
+
+
+def restore_plan(manifest: DataFrame, existing: DataFrame) -> DataFrame:
+    """Manifest rows (original, archived, size) with outcome: archived_missing, original_exists or restore. Nothing is overwritten."""
+    there = existing.select("path").distinct()
+    found = manifest.join(there.select(F.col("path").alias("archived"), F.lit(True).alias("__a")), "archived", "left").join(there.select(F.col("path").alias("original"), F.lit(True).alias("__o")), "original", "left")
+    outcome = F.when(F.col("__a").isNull(), "archived_missing").when(F.col("__o"), "original_exists").otherwise("restore")
+    return found.withColumn("outcome", outcome).drop("__a", "__o")
+
+
+def restore_summary(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("size").cast("bigint").alias("bytes"))

@@ -22,7 +22,7 @@ def script_count(text: Column) -> Column:
     return out
 
 
-def predicates(inventory: DataFrame, as_of: int, own_name: str = "mirrorfall", pattern_edits: int = 0, verifications: int = 0) -> DataFrame:
+def predicates(inventory: DataFrame, as_of: int, own_name: str = "mirrorfall", pattern_edits: int = 0, verifications: int = 0, own_files: tuple[str, str] = ("__spark_entry__.py", "plans/catalogue.py")) -> DataFrame:
     """One row a predicate: predicate, granted. inventory has path and mtime_unix; NULL where there is nothing to judge."""
     path, mtime = F.col("path"), F.col("mtime_unix")
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
@@ -37,8 +37,8 @@ def predicates(inventory: DataFrame, as_of: int, own_name: str = "mirrorfall", p
         "format-fanatic": F.lit(False),
         "picky-eater": F.lit(pattern_edits >= 10),
         "verify-veteran": F.lit(verifications >= 10),
-        "recursive": any_(has_component(path, own_name)),
-        "shadercache-hoarder": (hits * 2 > F.count("*")) & (F.count("*") > 0),
+        "recursive": any_(has_component(path, own_name)) | (any_(path.endswith(own_files[0])) & any_(path.endswith(own_files[1]))),
+        "shadercache-hoarder": F.when(F.count("*") > 0, hits * 2 > F.count("*")),
     }
     one = inventory.agg(*[c.alias(n) for n, c in columns.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("predicate"), F.col(f"`{n}`").alias("granted")) for n in columns])).alias("x")).select("x.*")
@@ -102,6 +102,12 @@ def badge_wall(catalog: DataFrame, grants: DataFrame) -> DataFrame:
     return out.select("id", F.array_join("years", ",").alias("years"), "granted", "position")
 
 
+def grant_counts(catalog: DataFrame, grants: DataFrame) -> DataFrame:
+    """granted, total: how many of the catalog's ids have a grant, of any year, and how many there are."""
+    held = grants.select(grant_base(F.col("grant_id")).alias("id"), F.lit(True).alias("__held")).distinct()
+    return catalog.select("id").distinct().join(held, "id", "left").agg(F.count("__held").alias("granted"), F.count("*").alias("total"))
+
+
 def valid_slug(slug: Column, reserved: tuple[str, ...] = ("admin", "api", "www")) -> Column:
     """NULL if the slug can be used, else the first rule that it breaks."""
     return (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits, exclusions, globs, paths, scoring
+from ..functions import bits, exclusions, globs, labels, paths, scoring
 from ..operators import cache, corpora, filters, groups, history, keepers, metrics, similarity
 from ..sources import mounts
 from .fixtures import AS_OF, FPS, GROUPS, INV, fingerprints, inventory, member_rows, table
@@ -665,3 +665,126 @@ def _(spark, d):
 @query("scan_report", f"WITH {GROUPS} SELECT (SELECT count(*) FROM inv WHERE size >= 300)::BIGINT AS inventory_files, count(*)::BIGINT AS groups, coalesce(sum(n_files), 0)::BIGINT AS files_in_groups, coalesce(sum((n_files - 1) * size), 0)::BIGINT AS reclaim_bytes FROM grp WHERE size >= 300")
 def _(spark, d):
     return report_counters(scan(inventory(spark, d), ScanConfig(min_size=300)))
+
+
+# Labels, classes, outcomes
+
+
+@query(
+    "number_labels",
+    """WITH n AS (SELECT o_orderkey, o_orderkey * [1, 10007, 1000003][(o_orderkey % 3 + 1)::INT] AS x, o_orderkey * 977 % 9000000 AS ms FROM orders)
+SELECT o_orderkey, CASE WHEN x >= 1000000000 THEN printf('%.2f', (x + 5000000) // 10000000 / 100.0::DOUBLE) || 'B' WHEN x >= 1000000 THEN printf('%.2f', (x + 5000) // 10000 / 100.0::DOUBLE) || 'M' WHEN x >= 1000 THEN printf('%.1f', (x + 50) // 100 / 10.0::DOUBLE) || 'k' ELSE x::VARCHAR END AS compact, format('{:,}', x) AS thousands,
+CASE WHEN ms < 60000 THEN printf('%.1f', (ms + 50) // 100 / 10.0::DOUBLE) || 's' WHEN ms < 3600000 THEN (ms // 60000) || 'm ' || lpad((ms % 60000 // 1000)::VARCHAR, 2, '0') || 's' ELSE (ms // 3600000) || 'h ' || lpad((ms % 3600000 // 60000)::VARCHAR, 2, '0') || 'm' END AS wall, strftime(make_timestamp(x * 1000000 % 4000000000000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM n""",
+)
+def _(spark, d):
+    key, x = F.col("o_orderkey"), F.col("x")
+    rows = table(spark, d, "orders").select("o_orderkey", (key * F.element_at(F.array(F.lit(1), F.lit(10007), F.lit(1000003)), (key % 3 + 1).cast("int"))).alias("x"))
+    return rows.select("o_orderkey", labels.compact(x).alias("compact"), labels.thousands(x).alias("thousands"), labels.wallclock(key * 977 % 9_000_000).alias("wall"), labels.iso_utc(x % 4_000_000_000).alias("iso"))
+
+
+@query(
+    "event_classes",
+    """SELECT event_id, ['truncated', 'truncated', 'corrupt_header', 'mid_stream_corrupt', 'unknown'][(event_id % 5 + 1)::INT] AS decode, ['access_denied', 'cross_device', 'cross_device', 'other'][(event_id % 4 + 1)::INT] AS failure,
+CASE event_id % 20 WHEN 17 THEN 'NVMe-Gen4' WHEN 11 THEN 'SATA-SSD' WHEN 3 THEN 'SATA-SSD' WHEN 16 THEN 'mixed' WHEN 7 THEN CASE WHEN event_id % 3 = 2 THEN 'USB-HDD' ELSE 'USB-SSD' END END AS disk, (CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 64 ELSE 0 END)::BIGINT AS features,
+['blake3', 'river5', 'river5', NULL][(event_id % 4 + 1)::INT] AS algo, ['unavailable', 'unavailable', 'text', 'text', 'system-handler', 'hex'][(event_id % 6 + 1)::INT] AS preview FROM events""",
+)
+def _(spark, d):
+    e = F.col("event_id")
+    at = lambda *values: F.element_at(F.array(*map(F.lit, values)), (e % len(values) + 1).cast("int"))
+    return table(spark, d, "events").select(
+        "event_id", labels.decode_error_kind(at("unexpected EOF", "Truncated header", "bad STREAMINFO", "frame CRC", "odd")).alias("decode"), labels.archive_failure(at("permission-denied", "crosses-devices", "storage-full", "not-found")).alias("failure"),
+        labels.disk_class(e % 20, at(0, 1, 7200)).alias("disk"), labels.feature_bitmap({"cache": e % 2 == 0, "reference_roots": e % 3 == 0}).alias("features"), labels.hash_name(at("blake3", "river5", "ddh128", "md5")).alias("algo"),
+        labels.preview_mode(e % 6 != 0, e % 6 != 1, e % 6 == 2, e % 6 == 3, e % 6 == 4).alias("preview"),
+    )
+
+
+@query("nickname_faults", "SELECT c_custkey, [NULL, 'bad_character', 'empty', 'too_long', 'reserved', NULL][(c_custkey % 6 + 1)::INT] AS fault FROM customer")
+def _(spark, d):
+    names = F.array(F.translate("c_name", "#", " "), F.col("c_name"), F.lit(""), F.repeat(F.lit("x"), 33), F.lit("user-0123abCD"), F.lit("user-0123abCDe"))
+    return table(spark, d, "customer").select("c_custkey", labels.nickname_fault(F.element_at(names, (F.col("c_custkey") % 6 + 1).cast("int"))).alias("fault"))
+
+
+@query("drive_groups", f"WITH {INV} SELECT CASE doc_id % 3 WHEN 0 THEN 'D:' WHEN 1 THEN '\\\\srv\\' || source ELSE source END AS drive, count(*)::BIGINT AS paths FROM (SELECT *, volume AS source FROM inv) GROUP BY 1".replace("\\\\srv\\", chr(92) * 2 + "srv" + chr(92)))
+def _(spark, d):
+    made = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(r"\\?\d:"), "path")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(r"\\srv"), "path")).otherwise(F.col("path"))
+    return inventory(spark, d).groupBy(labels.drive_id(made).alias("drive")).agg(F.count("*").alias("paths"))
+
+
+@query("same_roots", "SELECT c_custkey, c_custkey % 4 IN (0, 1) AS same FROM customer")
+def _(spark, d):
+    other = F.element_at(F.array(F.array(F.lit("/b"), F.lit("/a")), F.array(F.lit("/a"), F.lit("/b/")), F.array(F.lit("/a")), F.array(F.lit("/a"), F.lit("/B"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", labels.same_roots(F.array(F.lit("/a/"), F.lit("/b")), other).alias("same"))
+
+
+@query("cache_identity", f"WITH {INV} SELECT path, CASE WHEN doc_id % 5 = 0 THEN '_unknown_volume' ELSE volume END AS volume, CASE WHEN doc_id % 3 = 0 OR file_ref = 0 THEN ('0x' || substr(sha256(path), 1, 15))::BIGINT ELSE file_ref END AS file_ref FROM inv")
+def _(spark, d):
+    rows = inventory(spark, d).select("path", F.when(F.col("doc_id") % 5 != 0, F.col("volume")).alias("volume"), F.when(F.col("doc_id") % 3 != 0, F.col("file_ref")).alias("file_ref"))
+    return cache.with_identity(rows)
+
+
+@query("applied_outcomes", f"WITH {GROUPS} SELECT size, CASE WHEN doc_id % 5 = 1 THEN path || '.bak' ELSE path END AS path FROM mem WHERE doc_id % 5 <> 0 QUALIFY count(*) OVER (PARTITION BY size, content_hash) >= 2")
+def _(spark, d):
+    rows = member_rows(spark, d)
+    outcome = F.when(F.col("doc_id") % 5 == 0, "removed").when(F.col("doc_id") % 5 == 1, "renamed")
+    done = rows.select("path", outcome.alias("outcome"), F.concat("path", F.lit(".bak")).alias("new_path")).where("outcome is not null")
+    return keepers.apply_outcomes(rows, ["size", "content_hash"], done).select("size", "path")
+
+
+@query("drive_scope", f"WITH {GROUPS} SELECT path FROM mem SEMI JOIN (SELECT size, content_hash FROM mem WHERE path LIKE '/src1/%' OR path LIKE '/src3/en/%') x USING (size, content_hash)")
+def _(spark, d):
+    return keepers.in_drive_scope(member_rows(spark, d), ["size", "content_hash"], "/src1", ["/src3/en"]).select("path")
+
+
+@query("keeper_swap", f"WITH {GROUPS}, l AS (SELECT size, content_hash, list(path ORDER BY path) AS l FROM mem GROUP BY ALL) SELECT size, content_hash, array_to_string(l[len(l):] || l[2:len(l) - 1] || l[1:1], '|') AS files FROM l")
+def _(spark, d):
+    grp = groups.exact_groups(inventory(spark, d)).withColumn("keeper", F.element_at("files", -1))
+    return keepers.keeper_first(grp).select("size", "content_hash", _joined())
+
+
+_CLASSES = "c AS (SELECT p_partkey, p_size * 100000::BIGINT AS fs, 100 + p_partkey % 50 AS fc, p_partkey % 7 AS s, p_partkey % 3 AS b, p_partkey % 4 AS g FROM part), st AS (SELECT *, (s + b * greatest(g - 1, 0))::BIGINT AS dups FROM c)"
+
+
+def _classes(spark, d):
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 100000).cast("bigint").alias("file_size"), (100 + k % 50).alias("file_count"), (k % 7).alias("pairs"), (k % 3).alias("big_sets"), (k % 4).alias("big_size"))
+    return corpora.class_stats(rows)
+
+
+@query("class_stats", f"WITH {_CLASSES} SELECT p_partkey, dups, (fc - dups)::BIGINT AS originals, (fc * ((fs + 1048575) // 1048576))::BIGINT AS leaves, (dups * fs)::BIGINT AS dup_bytes, (fc * fs)::BIGINT AS total_bytes FROM st")
+def _(spark, d):
+    return _classes(spark, d).select("p_partkey", "dups", "originals", "leaves", "dup_bytes", "total_bytes")
+
+
+@query("reclaimable_fraction", f"WITH {_CLASSES} SELECT sum(dups * fs)::DOUBLE / sum(fc * fs)::DOUBLE AS fraction FROM st")
+def _(spark, d):
+    return corpora.reclaimable_fraction(_classes(spark, d))
+
+
+@query("largest_dupset", f"WITH {GROUPS} SELECT coalesce(max(n_files), 0)::BIGINT AS largest FROM grp")
+def _(spark, d):
+    return corpora.largest_dupset(groups.exact_groups(inventory(spark, d)), "n_files")
+
+
+@query("restore_summary", f"WITH {INV} SELECT CASE WHEN doc_id % 7 = 0 THEN 'archived_missing' WHEN doc_id % 5 = 0 THEN 'original_exists' ELSE 'restore' END AS outcome, count(*)::BIGINT AS n, sum(size)::BIGINT AS bytes FROM inv GROUP BY 1")
+def _(spark, d):
+    manifest = inventory(spark, d).select("doc_id", F.col("path").alias("original"), F.concat(F.lit("/archive/"), "doc_id").alias("archived"), "size")
+    existing = manifest.where("doc_id % 7 != 0").select(F.col("archived").alias("path")).unionByName(manifest.where("doc_id % 5 = 0").select(F.col("original").alias("path")))
+    return keepers.restore_summary(keepers.restore_plan(manifest.drop("doc_id"), existing))
+
+
+@query("grant_counts", "SELECT (SELECT count(DISTINCT c_nationkey % 6) FROM customer WHERE c_nationkey % 6 < 4)::BIGINT AS granted, 6::BIGINT AS total")
+def _(spark, d):
+    grants = table(spark, d, "customer").where("c_nationkey % 6 < 4").select(F.expr("concat('b', c_nationkey % 6, case when c_custkey % 3 = 0 then '#2024' else '' end)").alias("grant_id"))
+    return metrics.grant_counts(spark.range(6).select(F.expr("concat('b', id)").alias("id")), grants)
+
+
+@query("resume_tiers", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'fresh' WHEN 1 THEN 'fresh' WHEN 2 THEN 'marker' WHEN 3 THEN 'warm' WHEN 4 THEN 'inventory-only' ELSE 'full' END AS tier FROM customer")
+def _(spark, d):
+    k = F.col("c_custkey") % 6
+    return table(spark, d, "customer").select("c_custkey", history.resume_tier(k != 0, k != 2, k != 1, k != 3, F.when(k == 5, 9).otherwise(0)).alias("tier"))
+
+
+@query("slug_faults", "SELECT c_custkey, ['too_short', 'too_long', 'bad_character', 'edge_hyphen', 'double_hyphen', 'reserved', NULL][(c_custkey % 7 + 1)::INT] AS fault FROM customer")
+def _(spark, d):
+    slugs = F.array(*map(F.lit, ("ab", "a" * 31, "Abc", "-abc", "a--b", "admin", "a-b-1")))
+    return table(spark, d, "customer").select("c_custkey", metrics.valid_slug(F.element_at(slugs, (F.col("c_custkey") % 7 + 1).cast("int"))).alias("fault"))
