@@ -1,11 +1,12 @@
 """Line deduplication as an exact set-similarity self-join, with DataFrame operations only.
 
-1. Equal lines are merged to one, named by a number, with its first place and how often it occurs.
+1. Equal lines are merged to one, numbered in the order of their first places, with how often it occurs.
 2. A line's distinct words are ordered by rarity. Two lines match only if their prefixes share a word, or more of them in
    prefixes of long lines, which are longer by as many words; of pairs that do, those stay whose lengths allow a match,
    whose words behind the shared one still suffice, and whose parity sketches (64 bits, each word flips one) differ in no
    more bits than the sets may differ in words. Words stand here as hashes, which can only add pairs.
-3. Pairs are decided on the words themselves, and each line takes its earliest match.
+3. Pairs are decided on the words themselves, and each line takes its earliest match. Each line is held first against the
+   earliest line of each of its prefix words; then only pairs stay that could still give it an earlier match.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ._shared import collect_garbage, drop, fresh, materialize
 
@@ -76,8 +78,32 @@ def _shares(n: Column) -> Column:
     return 1 + F.call_function("div", F.greatest(n - 32, F.lit(0)), F.lit(16))
 
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of numbers of `firsts` (id, line) that pass all filters, a < b."""
+def _close(a: str, b: str) -> Column:
+    """Whether two lines that share a prefix word can match, by their columns pn and sketch, whose names start with `a` and `b`."""
+    n = lambda x: F.col(f"{x}pn").bitwiseAND(F.lit(0xFFFFFFFF))
+    pos = lambda x: F.shiftright(f"{x}pn", 32)
+    an, bn = n(a), n(b)
+    need, shares = _need(an, bn), F.least(_shares(an), _shares(bn))
+    return (
+        (100 * F.least(an, bn) >= PERCENT * F.greatest(an, bn))
+        & (F.least(an - pos(a), bn - pos(b)) >= need - (shares - 1))
+        & (F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch"))) <= an + bn - 2 * need)
+    )
+
+
+def _n(row: str = "pn") -> Column:
+    return F.col(row).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _enough(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) that met in as many words as `shares` asks for."""
+    return met.groupBy("a", "b", "shares").count().where("count >= shares").select("a", "b")
+
+
+def shared_prefixes(firsts: DataFrame) -> DataFrame:
+    """The prefix words that two lines of `firsts` (id, line) or more have: word, id, pn (the word's place and the line's size,
+    packed), sketch; rank, the line's place among the word's lines by id; and the word's first line, lead_id, lead_pn and
+    lead_sketch."""
     levels = F.from_json(F.lit(json.dumps(list(rarity_levels(firsts)))), "array<int>")  # one constant
     low = F.lit((1 << _HASH_BITS) - 1)
     # Rarer words first; equal levels in the order of the hashes, equal hashes in any.
@@ -91,19 +117,49 @@ def candidates(firsts: DataFrame) -> DataFrame:
     signed = coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("sketch"))
     keys = signed.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sketch")
     keys = keys.select("word", "id", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
-    a, b = keys.alias("a"), keys.alias("b")
-    n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
-    pos_of = lambda x: F.shiftright(f"{x}.pn", 32)
-    an, bn, ap, bp = n_of("a"), n_of("b"), pos_of("a"), pos_of("b")
-    need, shares = _need(an, bn), F.least(_shares(an), _shares(bn))
-    close = (
-        (F.col("a.id") < F.col("b.id"))
-        & (100 * F.least(an, bn) >= PERCENT * F.greatest(an, bn))
-        & (F.least(an - ap, bn - bp) >= need - (shares - 1))
-        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= an + bn - 2 * need)
-    )
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), shares.alias("shares"))
-    return met.groupBy("a", "b", "shares").count().where("count >= shares").select("a", "b")
+    order = Window.partitionBy("word").orderBy("id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = keys.withColumns(
+        {"rank": F.row_number().over(order), "next": F.lead("id").over(order), **{f"lead_{c}": F.first(c).over(so_far) for c in ("id", "pn", "sketch")}}
+    )
+    return ranked.where("rank > 1 or next is not null").drop("next")
+
+
+def leading_candidates(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, that pass all filters, a being the first line of their words."""
+    met = shared.where("rank > 1").where(_close("lead_", ""))
+    return _enough(met.select(F.col("lead_id").alias("a"), F.col("id").alias("b"), F.least(_shares(_n("lead_pn")), _shares(_n())).alias("shares")))
+
+
+def other_candidates(shared: DataFrame, best: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, that pass all filters and could still give b an earlier match than `best` (b, best) has for it.
+
+    Pairs that one word suffices for and that have its first line are left to leading_candidates.
+    """
+    longer = _shares(_n()) > 1
+    late = shared.where((F.col("rank") > 2) | longer).join(best, F.col("id") == F.col("b"), "left").where("best is null or best > lead_id")
+    late = late.select("word", F.col("id").alias("b"), F.col("pn").alias("b_pn"), F.col("sketch").alias("b_sketch"), F.coalesce("best", "id").alias("before"))
+    early = shared.where((F.col("rank") > 1) | longer).select(F.col("word").alias("a_word"), F.col("id").alias("a"), F.col("pn").alias("a_pn"), F.col("sketch").alias("a_sketch"), "rank")
+    shares = F.least(_shares(_n("a_pn")), _shares(_n("b_pn")))
+    met = early.join(late, (F.col("a_word") == F.col("word")) & (F.col("a") < F.col("before")) & ((F.col("rank") > 1) | (shares > 1)) & _close("a_", "b_"))
+    return _enough(met.select("a", "b", shares.alias("shares")))
+
+
+def candidates(firsts: DataFrame) -> DataFrame:
+    """All pairs (a, b) of numbers of `firsts` (id, line) that pass all filters, a < b."""
+    shared = shared_prefixes(firsts)
+    none = firsts.sparkSession.createDataFrame([], "b long, best long")
+    return leading_candidates(shared).unionByName(other_candidates(shared, none)).distinct()
+
+
+def _verified(firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each b of pairs (a, b) that match on their words: its earliest match, best, and that one's place, early."""
+    side = lambda x: firsts.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_own < b_own")
+    met = met.withColumns({f"{x}_words": F.array_distinct(_words(F.col(f"{x}_line"))) for x in "ab"})
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    same = met.where(100 * shared >= PERCENT * (F.size("a_words") + F.size("b_words") - shared))
+    return same.groupBy("b").agg(F.min("a").alias("best"), F.min("a_own").alias("early"))
 
 
 def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
@@ -114,23 +170,20 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     have one place, where rows share all of `ids`; of these none is earlier than another.
     """
     lines = numbered_lines(docs, ids).select(*_line_key(), F.struct(F.struct(*ids, "line_no").alias("own"), "line").alias("row"))
-    # Copies meet here after each task has merged its own.
-    merged = lines.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    # Copies meet here after each task has merged its own; the numbers follow the places.
+    merged = lines.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies")).sort("row.own")
     firsts = materialize(merged.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "copies", F.col("row.own").cast(place_type(docs, ids)).alias("own"), F.col("row.line").alias("line")), "first-lines")
     collect_garbage(docs.sparkSession)
-    pairs = materialize(candidates(firsts.select("id", "line")), "line-pairs")
+    shared = materialize(shared_prefixes(firsts.select("id", "line")), "line-prefixes")
     collect_garbage(docs.sparkSession)
-    side = lambda x: firsts.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_own != b_own")
-    met = met.withColumns({f"{x}_words": F.array_distinct(_words(F.col(f"{x}_line"))) for x in "ab"})
-    shared = F.size(F.array_intersect("a_words", "b_words"))
-    same = met.where(100 * shared >= PERCENT * (F.size("a_words") + F.size("b_words") - shared))
-    late = F.when(F.col("a_own") < F.col("b_own"), F.col("b")).otherwise(F.col("a"))
-    matched = materialize(same.select(late.alias("id"), F.least("a_own", "b_own").alias("early")).groupBy("id").agg(F.min("early").alias("early")), "line-matches")
-    drop(pairs)
+    # Members of a large group of near copies mostly match their words' first line; then only lines before it are left to try.
+    leading = materialize(_verified(firsts, leading_candidates(shared)), "line-leaders")
+    others = materialize(_verified(firsts, other_candidates(shared, leading.select("b", "best"))), "line-matches")
+    drop(shared)
+    matched = leading.unionByName(others).groupBy(F.col("b").alias("id")).agg(F.min("early").alias("early"))
     out = firsts.select("id", "k1", "k2", "copies", "own").join(matched, "id", "left").where("copies > 1 or early is not null")
     out = materialize(out.select("k1", "k2", F.least("own", "early").alias("first")), "line-verdicts")
-    drop(firsts, matched)
+    drop(firsts, leading, others)
     return out
 
 

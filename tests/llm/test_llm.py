@@ -496,6 +496,25 @@ def test_long_lines_lose_no_pair(spark):
     assert len(want) > 20 and want <= found
 
 
+def test_lines_of_a_drifting_group_find_their_earliest_match(spark):
+    """Copies that drift away from their group's first line, so that many match a later one only, and ids against the order of drift."""
+    rng = random.Random(78)
+    words = [f"v{i}" for i in range(30)]
+    drift = []
+    for _ in range(120):
+        words = list(words)
+        words[rng.randrange(30)] = f"v{rng.randrange(400)}"
+        drift.append(" ".join(words))
+    rng.shuffle(drift)
+    rows = list(enumerate(drift, start=1))
+    sets = [set(t.split()) for t in drift]
+    match = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {i + 1: next((j + 1 for j in range(i) if match(sets[j], sets[i])), None) for i in range(len(sets))}
+    out = lines.judged_lines(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+    assert {r.doc_id: r["first"] and r["first"].doc_id for r in out} == want
+    assert 10 < sum(v is not None for v in want.values()) < 120 and len({v for v in want.values()}) > 5
+
+
 def test_surrogates_follow_a_person(spark):
     rows = [
         (1, "Mr. Adam Smith and Dr. Adam Smith met. Mr. Adam left. Adam Smith spoke. SMITH! Smithson stays."),
