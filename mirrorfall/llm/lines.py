@@ -100,10 +100,8 @@ def _enough(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b", "shares").count().where("count >= shares").select("a", "b")
 
 
-def shared_prefixes(firsts: DataFrame) -> DataFrame:
-    """The prefix words that two lines of `firsts` (id, line) or more have: word, id, pn (the word's place and the line's size,
-    packed), sketch; rank, the line's place among the word's lines by id; and the word's first line, lead_id, lead_pn and
-    lead_sketch."""
+def signed_lines(firsts: DataFrame) -> DataFrame:
+    """For each of `firsts` (id, line): id, n (how many distinct words it has), prefix (its rarest ones, as codes) and sketch."""
     levels = F.from_json(F.lit(json.dumps(list(rarity_levels(firsts)))), "array<int>")  # one constant
     low = F.lit((1 << _HASH_BITS) - 1)
     # Rarer words first; equal levels in the order of the hashes, equal hashes in any.
@@ -113,43 +111,31 @@ def shared_prefixes(firsts: DataFrame) -> DataFrame:
     n = F.size("codes")
     prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + _shares(n).cast("int")
     flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")))
-    # Made before lines fan out, so once for each line.
-    signed = coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("sketch"))
-    keys = signed.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sketch")
-    keys = keys.select("word", "id", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
-    order = Window.partitionBy("word").orderBy("id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = keys.withColumns(
-        {"rank": F.row_number().over(order), "next": F.lead("id").over(order), **{f"lead_{c}": F.first(c).over(so_far) for c in ("id", "pn", "sketch")}}
-    )
-    return ranked.where("rank > 1 or next is not null").drop("next")
-
-
-def leading_candidates(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, that pass all filters, a being the first line of their words."""
-    met = shared.where("rank > 1").where(_close("lead_", ""))
-    return _enough(met.select(F.col("lead_id").alias("a"), F.col("id").alias("b"), F.least(_shares(_n("lead_pn")), _shares(_n())).alias("shares")))
+    return coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("sketch"))
 
 
-def other_candidates(shared: DataFrame, best: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, that pass all filters and could still give b an earlier match than `best` (b, best) has for it.
+def _keys(signed: DataFrame, *more: str) -> DataFrame:
+    """A row for each prefix word: word, id, pn (the word's place and the line's size, packed), sketch and the columns `more`."""
+    keys = signed.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sketch", *more)
+    return keys.select("word", "id", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch", *more)
 
-    Pairs that one word suffices for and that have its first line are left to leading_candidates.
-    """
-    longer = _shares(_n()) > 1
-    late = shared.where((F.col("rank") > 2) | longer).join(best, F.col("id") == F.col("b"), "left").where("best is null or best > lead_id")
-    late = late.select("word", F.col("id").alias("b"), F.col("pn").alias("b_pn"), F.col("sketch").alias("b_sketch"), F.coalesce("best", "id").alias("before"))
-    early = shared.where((F.col("rank") > 1) | longer).select(F.col("word").alias("a_word"), F.col("id").alias("a"), F.col("pn").alias("a_pn"), F.col("sketch").alias("a_sketch"), "rank")
-    shares = F.least(_shares(_n("a_pn")), _shares(_n("b_pn")))
-    met = early.join(late, (F.col("a_word") == F.col("word")) & (F.col("a") < F.col("before")) & ((F.col("rank") > 1) | (shares > 1)) & _close("a_", "b_"))
-    return _enough(met.select("a", "b", shares.alias("shares")))
+
+def leading_candidates(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, that pass all filters where a is the first line of the words they share."""
+    order = Window.partitionBy("word").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = _keys(signed).withColumns({f"lead_{c}": F.first(c).over(order) for c in ("id", "pn", "sketch")})
+    met = met.where((F.col("lead_id") < F.col("id")) & _close("lead_", ""))
+    return _enough(met.select(F.col("lead_id").alias("a"), F.col("id").alias("b"), F.least(_shares(_n("lead_pn")), _shares(_n())).alias("shares")))
 
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """All pairs (a, b) of numbers of `firsts` (id, line) that pass all filters, a < b."""
-    shared = shared_prefixes(firsts)
-    none = firsts.sparkSession.createDataFrame([], "b long, best long")
-    return leading_candidates(shared).unionByName(other_candidates(shared, none)).distinct()
+def candidates(signed: DataFrame, best: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, that pass all filters; where `best` (b, best) has a match of b, only those with an earlier a."""
+    signed = signed.withColumn("before", F.col("id")) if best is None else signed.join(best, F.col("id") == F.col("b"), "left").withColumn("before", F.coalesce("best", "id"))
+    keys = _keys(signed, "before")
+    early = keys.select(F.col("word").alias("a_word"), F.col("id").alias("a"), F.col("pn").alias("a_pn"), F.col("sketch").alias("a_sketch"))
+    late = keys.select("word", F.col("id").alias("b"), F.col("pn").alias("b_pn"), F.col("sketch").alias("b_sketch"), "before")
+    met = early.join(late, (F.col("a_word") == F.col("word")) & (F.col("a") < F.col("before")) & _close("a_", "b_"))
+    return _enough(met.select("a", "b", F.least(_shares(_n("a_pn")), _shares(_n("b_pn"))).alias("shares")))
 
 
 def _verified(firsts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -170,16 +156,24 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     have one place, where rows share all of `ids`; of these none is earlier than another.
     """
     lines = numbered_lines(docs, ids).select(*_line_key(), F.struct(F.struct(*ids, "line_no").alias("own"), "line").alias("row"))
-    # Copies meet here after each task has merged its own; the numbers follow the places.
-    merged = lines.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies")).sort("row.own")
-    firsts = materialize(merged.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "copies", F.col("row.own").cast(place_type(docs, ids)).alias("own"), F.col("row.line").alias("line")), "first-lines")
+    # Copies meet here after each task has merged its own.
+    merged = lines.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    merged = materialize(merged.select("k1", "k2", "copies", F.col("row.own").cast(place_type(docs, ids)).alias("own"), F.col("row.line").alias("line")), "distinct-lines")
     collect_garbage(docs.sparkSession)
-    shared = materialize(shared_prefixes(firsts.select("id", "line")), "line-prefixes")
+    # Numbers follow the places: partitions are ranges of them.
+    firsts = materialize(merged.sort("own").withColumn("id", F.monotonically_increasing_id()), "first-lines")
+    drop(merged)
+    signed = materialize(signed_lines(firsts.select("id", "line")), "line-prefixes")
     collect_garbage(docs.sparkSession)
     # Members of a large group of near copies mostly match their words' first line; then only lines before it are left to try.
-    leading = materialize(_verified(firsts, leading_candidates(shared)), "line-leaders")
-    others = materialize(_verified(firsts, other_candidates(shared, leading.select("b", "best"))), "line-matches")
-    drop(shared)
+    tried = materialize(leading_candidates(signed), "line-leaders")
+    collect_garbage(docs.sparkSession)
+    leading = materialize(_verified(firsts, tried), "line-leaders-matched")
+    pairs = materialize(candidates(signed, leading.select("b", "best")).join(tried, ["a", "b"], "left_anti"), "line-pairs")
+    drop(signed, tried)
+    collect_garbage(docs.sparkSession)
+    others = materialize(_verified(firsts, pairs), "line-matches")
+    drop(pairs)
     matched = leading.unionByName(others).groupBy(F.col("b").alias("id")).agg(F.min("early").alias("early"))
     out = firsts.select("id", "k1", "k2", "copies", "own").join(matched, "id", "left").where("copies > 1 or early is not null")
     out = materialize(out.select("k1", "k2", F.least("own", "early").alias("first")), "line-verdicts")

@@ -490,7 +490,7 @@ def test_long_lines_lose_no_pair(spark):
                 words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
             rng.shuffle(words)
             texts.append(" ".join(words))
-    found = {(r.a, r.b) for r in lines.candidates(spark.createDataFrame(list(enumerate(texts)), "id long, line string")).collect()}
+    found = {(r.a, r.b) for r in lines.candidates(lines.signed_lines(spark.createDataFrame(list(enumerate(texts)), "id long, line string"))).collect()}
     sets = [frozenset(t.split()) for t in texts]
     want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert len(want) > 20 and want <= found
