@@ -64,11 +64,13 @@ def format_family(ext: Column) -> Column:
 
 
 def head_slice(content: Column, tier1_bytes: int = 4096) -> Column:
-    return F.substring(content, 1, tier1_bytes)
+    """The first bytes of content; text counts as its UTF-8 bytes, not its characters."""
+    return F.substring(content.cast("binary"), 1, tier1_bytes)
 
 
 def sampled_slice(content: Column, size: Column, floor: int = TIER2_FLOOR, window: int = WINDOW) -> Column:
-    """Head, middle and tail of content of at least `floor` bytes, else NULL."""
+    """Head, middle and tail of content of at least `floor` bytes, else NULL; text counts as its UTF-8 bytes."""
+    content = content.cast("binary")
     middle = F.call_function("div", size - window, F.lit(2)).cast("int")
     return F.when(size >= floor, F.concat(F.substring(content, 1, window), F.substring(content, middle + 1, F.lit(window)), F.substring(content, (size - window + 1).cast("int"), F.lit(window))))
 

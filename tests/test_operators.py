@@ -49,6 +49,17 @@ def test_tiers_part_what_differs_late(spark):
     assert [tiers[t].count() for t in ("size", "head", "sampled", "full")] == [4, 4, 2, 2]
 
 
+def test_tiers_slice_bytes_not_characters(spark):
+    long = "é" * 600
+    texts = {"/a": "é" * 32 + "a" * 20, "/b": "é" * 32 + "b" * 20, "/c": long, "/d": long, "/e": long[:300] + "è" + long[301:]}
+    df = spark.createDataFrame(list(texts.items()), "path string, content string").withColumn("size", F.octet_length("content").cast("bigint"))
+    tiers = groups.tiered(df, tier1_bytes=64, floor=1024, window=64)
+    left = {t: {r.path for r in tiers[t].collect()} for t in ("head", "sampled", "full")}
+    assert left == {"head": set(texts), "sampled": {"/a", "/b", "/c", "/d"}, "full": {"/c", "/d"}}
+    counted = {r.tier: (r.files, r.bytes_read) for r in groups.tier_counters(df, tiers, tier1_bytes=64, window=64, floor=1024).collect()}
+    assert counted == {"head": (5, 320), "sampled": (3, 576), "full": (4, 2568)}
+
+
 def test_sizes_are_bytes_not_characters(spark):
     df = spark.createDataFrame([("/a", "éé"), ("/b", "abcd"), ("/c", "éé")], "path string, content string").withColumn("size", F.octet_length("content").cast("bigint"))
     assert as_sets(groups.exact_groups(df)) == {frozenset({"/a", "/c"})}
