@@ -13,11 +13,11 @@ def prune_singletons(df: DataFrame, keys: list[str], wide: bool = False) -> Data
     """Rows whose keys occur twice or more.
 
     For narrow rows a window counts them in one shuffle. For wide rows (content) the keys are counted first, with partial
-    aggregation, and the rows are semi-joined, so content of unique rows is not held in a window's buffer.
+    aggregation, and the rows are semi-joined, so content of unique rows is not held in a window's buffer. Nulls in keys are
+    equal either way.
     """
     if wide:
-        repeated = df.groupBy(*keys).count().where("count >= 2").select(*keys)
-        return df.join(repeated, keys, "left_semi")
+        return _prune_null_safe(df, keys)
     return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n >= 2").drop("__n")
 
 
@@ -75,7 +75,7 @@ def tiered(inventory: DataFrame, content: str = "content", tier1_bytes: int = 40
     rows = inventory.withColumns(hashes).drop(content)
     size = prune_singletons(rows, ["size"], wide=True)
     head = prune_singletons(size, ["size", "t1"], wide=True)
-    sampled = _prune_null_safe(head, ["size", "t1", "t2"])
+    sampled = prune_singletons(head, ["size", "t1", "t2"], wide=True)
     full = prune_singletons(sampled, ["size", "t3"], wide=True)
     return {"size": size, "head": head, "sampled": sampled, "full": full}
 

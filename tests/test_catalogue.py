@@ -51,5 +51,17 @@ def test_query_matches_sql(spark, duck, name):
     assert mine == rows(columns, found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["tier_funnel", "tier_counters"])
+def test_tiers_of_null_and_accented_texts_match_sql(spark, tmp_path, name):
+    texts = [None, None, "", "", "é" * 32 + "a" * 20, "é" * 32 + "b" * 20, *["é" * 600] * 2, "é" * 300 + "è" + "é" * 299]
+    docs = spark.createDataFrame([(i, t, "web", "en") for i, t in enumerate(texts)], "doc_id bigint, text string, source string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        found = con.execute(__spark_entry__.oracle_sql()[name])
+        assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in found.description], found.fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["size", "content_hash", "n_files", "files"]
