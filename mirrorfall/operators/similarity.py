@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import average_hamming, hamming
@@ -36,21 +36,56 @@ def hamming_links(rows: DataFrame, tau: int, key: str = "id", fingerprint: str =
     return stars.select(F.col("__id").alias("a"), F.col(key).alias("b")).unionByName(hamming_pairs(firsts, tau).select("a", "b"))
 
 
+def _flip_bands(chunk: Column, t: int) -> list[tuple[Column, list[int]]]:
+    """t // 2 + 1 bands of 32 bits, each with its bits' numbers: of values that differ in at most t bits, some band differs in
+    one bit at most, and for t = 0 in none. Bands take every so-manieth bit, so unused high bits are dealt over all of them."""
+    m = t // 2 + 1
+    bits = [list(range(k, 32, m)) for k in range(m)]
+    return [(chunk.bitwiseAND(F.lit(sum(1 << j for j in held))), held if t else []) for held in bits]
+
+
+def array_hamming_keys(rows: DataFrame, tau: int, key: str = "id", fingerprint: str = "fp") -> tuple[DataFrame, DataFrame]:
+    """Two tables (k, f, n, low0, low4, at, band, bits): the arrays of every pair within `tau` meet on (at, band, bits) of one and the
+    other. n is the array's length, low0 and low4 hold the low 16 bits of its first eight chunks.
+
+    Over n chunks a pair differs in at most tau * n bits, so either the first chunk, which every array has, differs in tau
+    bits at most, or a later one in tau - 1: else the sum were n * tau + 1 and more. The first table holds each band of these
+    chunks as it is, the second also with each of its bits turned, where a bit may differ.
+    """
+    rows = rows.where(F.size(fingerprint) > 0).select(F.col(key).alias("k"), F.col(fingerprint).alias("f"))
+    low = lambda i: F.when(F.size("f") > i, F.shiftleft(F.get("f", F.lit(i)).cast("bigint").bitwiseAND(F.lit(0xFFFF)), 16 * (i % 4))).otherwise(F.lit(0))
+    packed = [low(j).bitwiseOR(low(j + 1)).bitwiseOR(low(j + 2)).bitwiseOR(low(j + 3)).alias(f"low{j}") for j in (0, 4)]
+    carried = ["k", "f", "n", "low0", "low4"]
+    chunks = rows.select("k", "f", F.size("f").alias("n"), *packed, F.posexplode("f").alias("at", "chunk")).withColumn("chunk", F.col("chunk").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def table(turned: bool) -> DataFrame:
+        def entries(t: int) -> Column:
+            found = []
+            for band, (value, bits) in enumerate(_flip_bands(F.col("chunk"), t)):
+                values = [value, *[value.bitwiseXOR(F.lit(1 << j)) for j in bits if turned]]
+                found += [F.struct(F.lit(band).alias("band"), v.alias("bits")) for v in values]
+            return F.array(*found)
+
+        later = chunks.where("at > 0").select(*carried, "at", F.inline(entries(tau - 1))) if tau else None
+        first = chunks.where("at = 0").select(*carried, "at", F.inline(entries(tau)))
+        return first if later is None else first.unionByName(later)
+
+    return table(False), table(True)
+
+
 def array_hamming_pairs(rows: DataFrame, tau: int, key: str = "id", fingerprint: str = "fp") -> DataFrame:
     """Pairs a < b of integer arrays whose mean chunk distance is at most `tau`; exact.
 
-    Some chunk of such a pair differs in at most tau bits, so one of tau + 1 bands of that chunk is equal: rows meet on
-    (chunk number, band, bits).
+    Pairs meet as array_hamming_keys says; where arrays of one length meet, the distance of their low bits must already be
+    within the bound, and the whole distance decides. Arrays with one common chunk all meet, in the square of their number.
     """
-    cuts = [32 * i // (tau + 1) for i in range(tau + 2)]
-    chunk = F.col("chunk").cast("bigint")
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(chunk.bitwiseAND(F.lit(0xFFFFFFFF)), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    chunks = rows.where(F.size(fingerprint) > 0).select(F.col(key).alias("k"), F.posexplode(fingerprint).alias("at", "chunk"))
-    keyed = chunks.select("k", "at", F.explode(bands).alias("x")).select("k", "at", "x.band", "x.bits")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    left, right = (rows.select(F.col(key).alias(n), F.col(fingerprint).alias(f"f{n}")) for n in ("a", "b"))
-    return met.join(left, "a").join(right, "b").withColumn("distance", average_hamming(F.col("fa"), F.col("fb"))).where(F.col("distance") <= tau).select("a", "b", "distance")
+    one, other = array_hamming_keys(rows, tau, key, fingerprint)
+    a, b = one.alias("a"), other.alias("b")
+    bits = sum((F.bit_count(F.col(f"a.low{j}").bitwiseXOR(F.col(f"b.low{j}"))) for j in (0, 4)), F.lit(0))
+    within = (F.col("a.n") != F.col("b.n")) | (bits <= tau * F.col("a.n"))
+    same = (F.col("a.at") == F.col("b.at")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.k") < F.col("b.k")) & within
+    met = a.join(b, same).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), average_hamming(F.col("a.f"), F.col("b.f")).alias("distance"))
+    return met.where(F.col("distance") <= tau).distinct()
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
