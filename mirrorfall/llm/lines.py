@@ -1,18 +1,23 @@
 """Line deduplication as an exact set-similarity self-join, with DataFrame operations only.
 
 1. Equal lines are merged to one, named by a number, with its first place and how often it occurs.
-2. A line's distinct words are ordered by rarity. Two lines match only if their prefixes share a word, or more of them in
-   prefixes of long lines, which are longer by as many words; of pairs that do, those stay whose lengths allow a match,
-   whose words behind the shared one still suffice, and whose parity sketches (64 bits, each word flips one) differ in no
-   more bits than the sets may differ in words. Words stand here as hashes, which can only add pairs.
-3. Pairs are decided on the words themselves, and each line takes its earliest match.
+2. A line's leads are hashes of two of its words each, picked by their hashes alone, so near copies share most of them. Each
+   line is held against the first lines of each of its leads; a match bounds what is still sought for it. Of a group of near
+   copies, all but a few are bound to the first, and do not meet each other.
+3. A line's distinct words are ordered by rarity. Two lines match only if their prefixes share a word; of pairs that do, those
+   stay whose earlier line comes before the later one's bound, whose lengths allow a match, whose words behind the shared one
+   still suffice, and whose parity sketches (128 bits, each word flips one) differ in no more bits than the sets may differ in
+   words. Words stand here as hashes, which can only add pairs.
+4. Pairs are decided on the words themselves, and each line takes its earliest match.
+
+Arrays are exploded as outer ones: before others Spark puts a filter on the array's size, which computes the array again.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +31,10 @@ _BLANKS = r"[\x20\x09-\x0D]+"
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
 #: Bits of a word's hash below its level.
 _HASH_BITS = 55
+#: Against how many of a lead's first lines its others are held; the very first can be an outlier of its group.
+_HEADS = 4
+#: Patterns to which a lead's words have the nearest hashes, besides the least and the greatest.
+_PATTERNS = (0x3333333333333333, -0x3333333333333334, 0x5555555555555555)
 
 
 def _words(line: Column) -> Column:
@@ -44,7 +53,7 @@ def _bucket(word_hash: Column) -> Column:
 
 def rarity_levels(lines: DataFrame) -> bytes:
     """A byte for each hash bucket of words: the logarithm, in steps of a fifth, of how often its words occur in `lines` (line)."""
-    hashes = lines.select(F.explode(_words(F.col("line"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
+    hashes = lines.select(F.explode_outer(_words(F.col("line"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
     counted = hashes.groupBy("b").agg(F.least(F.floor(5 * F.log1p(F.count("*"))), F.lit(127)).cast("int").alias("level"))
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     # At most BUCKETS rows meet here, whatever the vocabulary.
@@ -54,7 +63,7 @@ def rarity_levels(lines: DataFrame) -> bytes:
 
 def numbered_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     """A row for each line that has a word: the columns `ids`, line_no from 0, and line."""
-    lines = docs.select(*ids, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = docs.select(*ids, F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     return lines.where(_has_word(F.col("line")))
 
 
@@ -71,39 +80,70 @@ def _need(n: Column, m: Column) -> Column:
     return F.call_function("div", PERCENT * (n + m) + F.lit(100 + PERCENT - 1), F.lit(100 + PERCENT))
 
 
-def _shares(n: Column) -> Column:
-    """How many words prefixes share at least, if both lines have n words and more: one, and one for each 16 words beyond 32."""
-    return 1 + F.call_function("div", F.greatest(n - 32, F.lit(0)), F.lit(16))
-
-
-def candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of numbers of `firsts` (id, line) that pass all filters, a < b."""
+def signatures(firsts: DataFrame) -> DataFrame:
+    """Of each line (id, line): id, n (its distinct words), prefix, s0 and s1 (its sketch), leads."""
     levels = F.from_json(F.lit(json.dumps(list(rarity_levels(firsts)))), "array<int>")  # one constant
     low = F.lit((1 << _HASH_BITS) - 1)
     # Rarer words first; equal levels in the order of the hashes, equal hashes in any.
     code = lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(low))
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    coded = firsts.select("id", F.sort_array(F.transform(hashes, code)).alias("codes"))
+    hashed = firsts.select("id", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes"))
+    coded = hashed.select("id", "hashes", F.sort_array(F.transform("hashes", code)).alias("codes"))
     n = F.size("codes")
-    prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + _shares(n).cast("int")
-    flip = lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")))
+    prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1
+    bits = lambda c, at, mask: F.shiftright(c, at).bitwiseAND(F.lit(mask)).cast("int")
+    flip = lambda half: lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", bits(c, 26, 1).bitwiseXOR(F.lit(1 - half)).cast("long"), bits(c, 20, 63)))
+    sketch = [F.aggregate("codes", F.lit(0).cast("long"), flip(half)).alias(f"s{half}") for half in (0, 1)]
+    nearest = lambda p: F.array_min(F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(p))))
     # Made before lines fan out, so once for each line.
-    signed = coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), F.aggregate("codes", F.lit(0).cast("long"), flip).alias("sketch"))
-    keys = signed.select(F.posexplode("prefix").alias("pos", "word"), "id", "n", "sketch")
-    keys = keys.select("word", "id", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "sketch")
+    picked = coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), *sketch, F.array(F.array_min("hashes"), F.array_max("hashes"), *map(nearest, _PATTERNS)).alias("picks"))
+    leads = [F.xxhash64(F.lit(8 * i + j), F.col("picks")[i], F.col("picks")[j]) for i in range(2 + len(_PATTERNS)) for j in range(i)]
+    return picked.select("id", "n", "prefix", "s0", "s1", F.array(*leads).alias("leads"))
+
+
+def _like(an: Column, bn: Column, a: str, b: str) -> Column:
+    """Whether the lengths and sketches of a and b let them match."""
+    apart = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s0", "s1"))
+    return (100 * F.least(an, bn) >= PERCENT * F.greatest(an, bn)) & (apart <= an + bn - 2 * _need(an, bn))
+
+
+def _heads(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids, and a's rank: a is one of the first _HEADS lines of one of b's leads, and earlier. `signed` has id, rank, n, s0, s1, leads."""
+    line = F.struct("rank", "id", "n", "s0", "s1")
+    led = signed.select(line.alias("own"), F.explode_outer("leads").alias("lead"))
+    first = lambda k: F.nth_value("own", k).over(Window.partitionBy("lead").orderBy("own.rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    others = led.select("own", *[first(k + 1).alias(f"h{k}") for k in range(_HEADS)]).where("h1 is not null")
+    met = others.select("own", F.explode_outer(F.array(*[f"h{k}" for k in range(_HEADS)])).alias("head")).where("head.rank < own.rank")
+    met = met.where(_like(F.col("head.n"), F.col("own.n"), "head", "own"))
+    return met.select(F.col("head.id").alias("a"), F.col("own.id").alias("b"), F.col("head.rank").alias("rank")).distinct()
+
+
+def _candidates(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of `signed` (id, rank, bound, n, prefix, s0, s1) that pass all filters, a's rank before b's bound."""
+    keys = signed.select(F.posexplode_outer("prefix").alias("pos", "word"), "id", "rank", "bound", "n", "s0", "s1")
+    keys = keys.select("word", "id", "rank", "bound", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "s0", "s1")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
     pos_of = lambda x: F.shiftright(f"{x}.pn", 32)
     an, bn, ap, bp = n_of("a"), n_of("b"), pos_of("a"), pos_of("b")
-    need, shares = _need(an, bn), F.least(_shares(an), _shares(bn))
-    close = (
-        (F.col("a.id") < F.col("b.id"))
-        & (100 * F.least(an, bn) >= PERCENT * F.greatest(an, bn))
-        & (F.least(an - ap, bn - bp) >= need - (shares - 1))
-        & (F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= an + bn - 2 * need)
-    )
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), shares.alias("shares"))
-    return met.groupBy("a", "b", "shares").count().where("count >= shares").select("a", "b")
+    need = _need(an, bn)
+    close = (F.col("a.rank") < F.col("b.bound")) & _like(an, bn, "a", "b") & (F.least(an - ap, bn - bp) >= need)
+    return a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def candidates(firsts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of numbers of `firsts` (id, line) that pass all filters, a < b."""
+    return _candidates(signatures(firsts).withColumns({"rank": F.col("id"), "bound": F.col("id")}))
+
+
+def _verified(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids that match and have different places, with a's place as `early`."""
+    side = lambda x: firsts.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_own != b_own")
+    # A lambda's argument is computed once, a column of a join's condition as often as it is named.
+    given = lambda x, f: F.transform(F.array(x), f)[0]
+    words = F.struct(*[F.array_distinct(_words(F.col(f"{x}_line"))).alias(x) for x in "ab"])
+    counted = given(words, lambda w: F.struct(F.size(F.array_intersect(w["a"], w["b"])).alias("both"), (F.size(w["a"]) + F.size(w["b"])).alias("sum")))
+    return met.where(given(counted, lambda c: 100 * c["both"] >= PERCENT * (c["sum"] - c["both"]))).withColumn("early", F.col("a_own")).select(*pairs.columns, "early")
 
 
 def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
@@ -118,16 +158,23 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     merged = lines.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     firsts = materialize(merged.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "copies", F.col("row.own").cast(place_type(docs, ids)).alias("own"), F.col("row.line").alias("line")), "first-lines")
     collect_garbage(docs.sparkSession)
-    pairs = materialize(candidates(firsts.select("id", "line")), "line-pairs")
+    # Ranks are in the order of places, and small where places may be wide.
+    ordered = firsts.select("id", "own").repartitionByRange("own").sortWithinPartitions("own")
+    ranks = materialize(ordered.select("id", F.monotonically_increasing_id().alias("rank")), "line-ranks")
+    signed = materialize(signatures(firsts.select("id", "line")).join(ranks, "id"), "line-signatures")
+    drop(ranks)
     collect_garbage(docs.sparkSession)
-    side = lambda x: firsts.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_own != b_own")
-    met = met.withColumns({f"{x}_words": F.array_distinct(_words(F.col(f"{x}_line"))) for x in "ab"})
-    shared = F.size(F.array_intersect("a_words", "b_words"))
-    same = met.where(100 * shared >= PERCENT * (F.size("a_words") + F.size("b_words") - shared))
-    late = F.when(F.col("a_own") < F.col("b_own"), F.col("b")).otherwise(F.col("a"))
-    matched = materialize(same.select(late.alias("id"), F.least("a_own", "b_own").alias("early")).groupBy("id").agg(F.min("early").alias("early")), "line-matches")
-    drop(pairs)
+    heads = materialize(_heads(signed), "line-heads")
+    bounds = materialize(_verified(heads, firsts).groupBy(F.col("b").alias("id")).agg(F.min("rank").alias("bound"), F.min("early").alias("early")), "line-bounds")
+    drop(heads)
+    collect_garbage(docs.sparkSession)
+    bounded = signed.drop("leads").join(bounds.drop("early"), "id", "left").withColumn("bound", F.coalesce("bound", "rank"))
+    pairs = materialize(_candidates(bounded), "line-pairs")
+    drop(signed)
+    collect_garbage(docs.sparkSession)
+    found = _verified(pairs, firsts).select(F.col("b").alias("id"), "early").union(bounds.select("id", "early"))
+    matched = materialize(found.groupBy("id").agg(F.min("early").alias("early")), "line-matches")
+    drop(pairs, bounds)
     out = firsts.select("id", "k1", "k2", "copies", "own").join(matched, "id", "left").where("copies > 1 or early is not null")
     out = materialize(out.select("k1", "k2", F.least("own", "early").alias("first")), "line-verdicts")
     drop(firsts, matched)
