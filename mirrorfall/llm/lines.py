@@ -81,7 +81,7 @@ def _need(n: Column, m: Column) -> Column:
 
 
 def signatures(firsts: DataFrame) -> DataFrame:
-    """Of each line (id, line): id, n (its distinct words), prefix, s0 and s1 (its sketch), leads."""
+    """Of each line (id, line): id, n (its distinct words), prefix, s0 and s1 (its sketch), picks (hashes of words from which leads are made)."""
     levels = F.from_json(F.lit(json.dumps(list(rarity_levels(firsts)))), "array<int>")  # one constant
     low = F.lit((1 << _HASH_BITS) - 1)
     # Rarer words first; equal levels in the order of the hashes, equal hashes in any.
@@ -95,9 +95,7 @@ def signatures(firsts: DataFrame) -> DataFrame:
     sketch = [F.aggregate("codes", F.lit(0).cast("long"), flip(half)).alias(f"s{half}") for half in (0, 1)]
     nearest = lambda p: F.array_min(F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(p))))
     # Made before lines fan out, so once for each line.
-    picked = coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), *sketch, F.array(F.array_min("hashes"), F.array_max("hashes"), *map(nearest, _PATTERNS)).alias("picks"))
-    leads = [F.xxhash64(F.lit(8 * i + j), F.col("picks")[i], F.col("picks")[j]) for i in range(2 + len(_PATTERNS)) for j in range(i)]
-    return picked.select("id", "n", "prefix", "s0", "s1", F.array(*leads).alias("leads"))
+    return coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), *sketch, F.array(F.array_min("hashes"), F.array_max("hashes"), *map(nearest, _PATTERNS)).alias("picks"))
 
 
 def _like(an: Column, bn: Column, a: str, b: str) -> Column:
@@ -107,43 +105,45 @@ def _like(an: Column, bn: Column, a: str, b: str) -> Column:
 
 
 def _heads(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids, and a's rank: a is one of the first _HEADS lines of one of b's leads, and earlier. `signed` has id, rank, n, s0, s1, leads."""
-    line = F.struct("rank", "id", "n", "s0", "s1")
-    led = signed.select(line.alias("own"), F.explode_outer("leads").alias("lead"))
-    first = lambda k: F.nth_value("own", k).over(Window.partitionBy("lead").orderBy("own.rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    """Pairs (a, b) of ids: a is one of the first _HEADS lines of one of b's leads, and earlier. `signed` has id, n, s0, s1, picks."""
+    leads = [F.xxhash64(F.lit(8 * i + j), F.col("picks")[i], F.col("picks")[j]) for i in range(2 + len(_PATTERNS)) for j in range(i)]
+    led = signed.select(F.struct("id", "n", "s0", "s1").alias("own"), F.explode_outer(F.array(*leads)).alias("lead"))
+    first = lambda k: F.nth_value("own", k).over(Window.partitionBy("lead").orderBy("own.id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     others = led.select("own", *[first(k + 1).alias(f"h{k}") for k in range(_HEADS)]).where("h1 is not null")
-    met = others.select("own", F.explode_outer(F.array(*[f"h{k}" for k in range(_HEADS)])).alias("head")).where("head.rank < own.rank")
+    met = others.select("own", F.explode_outer(F.array(*[f"h{k}" for k in range(_HEADS)])).alias("head")).where("head.id < own.id")
     met = met.where(_like(F.col("head.n"), F.col("own.n"), "head", "own"))
-    return met.select(F.col("head.id").alias("a"), F.col("own.id").alias("b"), F.col("head.rank").alias("rank")).distinct()
+    return met.select(F.col("head.id").alias("a"), F.col("own.id").alias("b")).distinct()
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids of `signed` (id, rank, bound, n, prefix, s0, s1) that pass all filters, a's rank before b's bound."""
-    keys = signed.select(F.posexplode_outer("prefix").alias("pos", "word"), "id", "rank", "bound", "n", "s0", "s1")
-    keys = keys.select("word", "id", "rank", "bound", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "s0", "s1")
+    """Pairs (a, b) of ids of `signed` (id, bound, n, prefix, s0, s1) that pass all filters, a before b's bound or, where it is null, b."""
+    keys = signed.select(F.posexplode_outer("prefix").alias("pos", "word"), "id", "bound", "n", "s0", "s1")
+    keys = keys.select("word", "id", "bound", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "s0", "s1")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
     pos_of = lambda x: F.shiftright(f"{x}.pn", 32)
     an, bn, ap, bp = n_of("a"), n_of("b"), pos_of("a"), pos_of("b")
     need = _need(an, bn)
-    close = (F.col("a.rank") < F.col("b.bound")) & _like(an, bn, "a", "b") & (F.least(an - ap, bn - bp) >= need)
+    close = (F.col("a.id") < F.coalesce("b.bound", "b.id")) & _like(an, bn, "a", "b") & (F.least(an - ap, bn - bp) >= need)
     return a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def candidates(firsts: DataFrame) -> DataFrame:
     """Pairs (a, b) of numbers of `firsts` (id, line) that pass all filters, a < b."""
-    return _candidates(signatures(firsts).withColumns({"rank": F.col("id"), "bound": F.col("id")}))
+    return _candidates(signatures(firsts).withColumn("bound", F.lit(None).cast("long")))
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids that match and have different places, with a's place as `early`."""
-    side = lambda x: firsts.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_own != b_own")
+def _verified(pairs: DataFrame, ranks: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ranks whose lines match and have different places, with b's id and a's place as `early`."""
+    for x in "ab":
+        pairs = pairs.join(ranks.select(F.col("rank").alias(x), F.col("id").alias(f"{x}_id")), x)
+    side = lambda x: firsts.select(F.col("id").alias(f"{x}_id"), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
+    met = pairs.join(side("a"), "a_id").join(side("b"), "b_id").where("a_own != b_own")
     # A lambda's argument is computed once, a column of a join's condition as often as it is named.
     given = lambda x, f: F.transform(F.array(x), f)[0]
     words = F.struct(*[F.array_distinct(_words(F.col(f"{x}_line"))).alias(x) for x in "ab"])
     counted = given(words, lambda w: F.struct(F.size(F.array_intersect(w["a"], w["b"])).alias("both"), (F.size(w["a"]) + F.size(w["b"])).alias("sum")))
-    return met.where(given(counted, lambda c: 100 * c["both"] >= PERCENT * (c["sum"] - c["both"]))).withColumn("early", F.col("a_own")).select(*pairs.columns, "early")
+    return met.where(given(counted, lambda c: 100 * c["both"] >= PERCENT * (c["sum"] - c["both"]))).select("a", "b", F.col("b_id").alias("id"), F.col("a_own").alias("early"))
 
 
 def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
@@ -161,20 +161,21 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     # Ranks are in the order of places, and small where places may be wide.
     ordered = firsts.select("id", "own").repartitionByRange("own").sortWithinPartitions("own")
     ranks = materialize(ordered.select("id", F.monotonically_increasing_id().alias("rank")), "line-ranks")
-    signed = materialize(signatures(firsts.select("id", "line")).join(ranks, "id"), "line-signatures")
-    drop(ranks)
+    collect_garbage(docs.sparkSession)
+    # From here on a line's id is its rank.
+    signed = materialize(signatures(firsts.select("id", "line")).join(ranks, "id").drop("id").withColumnRenamed("rank", "id"), "line-signatures")
     collect_garbage(docs.sparkSession)
     heads = materialize(_heads(signed), "line-heads")
-    bounds = materialize(_verified(heads, firsts).groupBy(F.col("b").alias("id")).agg(F.min("rank").alias("bound"), F.min("early").alias("early")), "line-bounds")
+    collect_garbage(docs.sparkSession)
+    bounds = materialize(_verified(heads, ranks, firsts).groupBy("b", "id").agg(F.min("a").alias("bound"), F.min("early").alias("early")), "line-bounds")
     drop(heads)
     collect_garbage(docs.sparkSession)
-    bounded = signed.drop("leads").join(bounds.drop("early"), "id", "left").withColumn("bound", F.coalesce("bound", "rank"))
-    pairs = materialize(_candidates(bounded), "line-pairs")
+    pairs = materialize(_candidates(signed.drop("picks").join(bounds.select(F.col("b").alias("id"), "bound"), "id", "left")), "line-pairs")
     drop(signed)
     collect_garbage(docs.sparkSession)
-    found = _verified(pairs, firsts).select(F.col("b").alias("id"), "early").union(bounds.select("id", "early"))
+    found = _verified(pairs, ranks, firsts).select("id", "early").union(bounds.select("id", "early"))
     matched = materialize(found.groupBy("id").agg(F.min("early").alias("early")), "line-matches")
-    drop(pairs, bounds)
+    drop(pairs, bounds, ranks)
     out = firsts.select("id", "k1", "k2", "copies", "own").join(matched, "id", "left").where("copies > 1 or early is not null")
     out = materialize(out.select("k1", "k2", F.least("own", "early").alias("first")), "line-verdicts")
     drop(firsts, matched)
