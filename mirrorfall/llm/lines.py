@@ -1,13 +1,15 @@
 """Line deduplication as an exact set-similarity self-join, with DataFrame operations only.
 
-1. Equal lines are merged to one, named by a number, with its first place and how often it occurs.
-2. A line's leads are hashes of two of its words each, picked by their hashes alone, so near copies share most of them. Each
-   line is held against the first lines of each of its leads; a match bounds what is still sought for it. Of a group of near
-   copies, all but a few are bound to the first, and do not meet each other.
+1. Lines are written in the order of their places and numbered by it. Equal lines are merged by their hashes, without their
+   text, to the first number and how often they occur.
+2. A line's leads are hashes of one of its two least and one of its two greatest word hashes each, so near copies share most of
+   them. Each line is held against the first lines of each of its leads; a match bounds what is still sought for it. Of a
+   group of near copies, all but a few are bound to the first, and do not meet each other.
 3. A line's distinct words are ordered by rarity. Two lines match only if their prefixes share a word; of pairs that do, those
    stay whose earlier line comes before the later one's bound, whose lengths allow a match, whose words behind the shared one
    still suffice, and whose parity sketches (128 bits, each word flips one) differ in no more bits than the sets may differ in
-   words. Words stand here as hashes, which can only add pairs.
+   words. Words stand here as hashes, which can only add pairs. The words are searched in parts, so that the prefixes of only
+   one part are on disk at a time.
 4. Pairs are decided on the words themselves, and each line takes its earliest match.
 
 Arrays are exploded as outer ones: before others Spark puts a filter on the array's size, which computes the array again.
@@ -16,6 +18,7 @@ Arrays are exploded as outer ones: before others Spark puts a filter on the arra
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +36,8 @@ _BLANK_CHARS = " \t\n\x0b\x0c\r"
 _HASH_BITS = 55
 #: Against how many of a lead's first lines its others are held; the very first can be an outlier of its group.
 _HEADS = 4
-#: Patterns to which a lead's words have the nearest hashes, besides the least and the greatest.
-_PATTERNS = (0x3333333333333333, -0x3333333333333334, 0x5555555555555555)
+#: Parts in which prefix words are searched one after another, all of them.
+_PARTS = 3
 
 
 def _words(line: Column) -> Column:
@@ -53,7 +56,8 @@ def _bucket(word_hash: Column) -> Column:
 
 def rarity_levels(lines: DataFrame) -> bytes:
     """A byte for each hash bucket of words: the logarithm, in steps of a fifth, of how often its words occur in `lines` (line)."""
-    hashes = lines.select(F.explode_outer(_words(F.col("line"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
+    # Cut at spaces alone, which is cheap: any order of words is right, if it is one for all lines.
+    hashes = lines.select(F.explode_outer(F.split("line", " ")).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
     counted = hashes.groupBy("b").agg(F.least(F.floor(5 * F.log1p(F.count("*"))), F.lit(127)).cast("int").alias("level"))
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     # At most BUCKETS rows meet here, whatever the vocabulary.
@@ -80,22 +84,24 @@ def _need(n: Column, m: Column) -> Column:
     return F.call_function("div", PERCENT * (n + m) + F.lit(100 + PERCENT - 1), F.lit(100 + PERCENT))
 
 
-def signatures(firsts: DataFrame) -> DataFrame:
-    """Of each line (id, line): id, n (its distinct words), prefix, s0 and s1 (its sketch), picks (hashes of words from which leads are made)."""
-    levels = F.from_json(F.lit(json.dumps(list(rarity_levels(firsts)))), "array<int>")  # one constant
+def signatures(firsts: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """Of each line (id, line): id, n (its distinct words), prefix, s0 and s1 (its sketch), picks (hashes of words from which
+    leads are made). Words' rarity is counted over `every` (line), by default over the same lines."""
+    levels = F.from_json(F.lit(json.dumps(list(rarity_levels(firsts if every is None else every)))), "array<long>")  # one constant
     low = F.lit((1 << _HASH_BITS) - 1)
-    # Rarer words first; equal levels in the order of the hashes, equal hashes in any.
-    code = lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(low))
-    hashed = firsts.select("id", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes"))
-    coded = hashed.select("id", "hashes", F.sort_array(F.transform("hashes", code)).alias("codes"))
-    n = F.size("codes")
-    prefix = n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1
-    bits = lambda c, at, mask: F.shiftright(c, at).bitwiseAND(F.lit(mask)).cast("int")
-    flip = lambda half: lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", bits(c, 26, 1).bitwiseXOR(F.lit(1 - half)).cast("long"), bits(c, 20, 63)))
-    sketch = [F.aggregate("codes", F.lit(0).cast("long"), flip(half)).alias(f"s{half}") for half in (0, 1)]
-    nearest = lambda p: F.array_min(F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(p))))
-    # Made before lines fan out, so once for each line.
-    return coded.select("id", n.alias("n"), F.slice("codes", F.lit(1), prefix).alias("prefix"), *sketch, F.array(F.array_min("hashes"), F.array_max("hashes"), *map(nearest, _PATTERNS)).alias("picks"))
+    # Rarer words first; equal levels in the order of the hashes, equal hashes in any. A null would make the sort a slow one.
+    code = lambda h: F.shiftleft(F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("long")), _HASH_BITS).bitwiseOR(h.bitwiseAND(low))
+    hashed = firsts.select("id", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))).alias("hashes"))
+    n = F.size("hashes")
+    prefix = F.slice(F.sort_array(F.transform("hashes", code)), F.lit(1), n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1)
+    flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    # Half of the words, by the hash's sign, flip bits of s0, the others of s1.
+    least = F.size(F.filter("hashes", lambda h: h < 0))
+    halves = {"s0": F.slice("hashes", F.lit(1), least), "s1": F.slice("hashes", least + 1, n - least)}
+    sketch = [F.aggregate(half, F.lit(0).cast("long"), flip).alias(s) for s, half in halves.items()]
+    at = lambda k: F.coalesce(F.get("hashes", k), F.col("hashes")[0])
+    # Made before lines fan out, so once for each line; of a word's code, 32 bits are enough to meet by.
+    return hashed.select("id", n.alias("n"), F.transform(prefix, lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))).alias("prefix"), *sketch, F.array(at(F.lit(0)), at(F.lit(1)), at(n - 2), at(n - 1)).alias("picks"))
 
 
 def _like(an: Column, bn: Column, a: str, b: str) -> Column:
@@ -106,7 +112,7 @@ def _like(an: Column, bn: Column, a: str, b: str) -> Column:
 
 def _heads(signed: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids: a is one of the first _HEADS lines of one of b's leads, and earlier. `signed` has id, n, s0, s1, picks."""
-    leads = [F.xxhash64(F.lit(8 * i + j), F.col("picks")[i], F.col("picks")[j]) for i in range(2 + len(_PATTERNS)) for j in range(i)]
+    leads = [F.xxhash64(F.lit(2 * i + j), F.col("picks")[i], F.col("picks")[2 + j]) for i in range(2) for j in range(2)]
     led = signed.select(F.struct("id", "n", "s0", "s1").alias("own"), F.explode_outer(F.array(*leads)).alias("lead"))
     first = lambda k: F.nth_value("own", k).over(Window.partitionBy("lead").orderBy("own.id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     others = led.select("own", *[first(k + 1).alias(f"h{k}") for k in range(_HEADS)]).where("h1 is not null")
@@ -115,9 +121,12 @@ def _heads(signed: DataFrame) -> DataFrame:
     return met.select(F.col("head.id").alias("a"), F.col("own.id").alias("b")).distinct()
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids of `signed` (id, bound, n, prefix, s0, s1) that pass all filters, a before b's bound or, where it is null, b."""
+def _candidates(signed: DataFrame, part: int | None = None) -> DataFrame:
+    """Pairs (a, b) of ids of `signed` (id, bound, n, prefix, s0, s1) that pass all filters, a before b's bound or, where it is
+    null, b; given a part, those that share a word of this one of the _PARTS."""
     keys = signed.select(F.posexplode_outer("prefix").alias("pos", "word"), "id", "bound", "n", "s0", "s1")
+    if part is not None:
+        keys = keys.where(F.col("word") % _PARTS == part)
     keys = keys.select("word", "id", "bound", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "s0", "s1")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -133,17 +142,28 @@ def candidates(firsts: DataFrame) -> DataFrame:
     return _candidates(signatures(firsts).withColumn("bound", F.lit(None).cast("long")))
 
 
-def _verified(pairs: DataFrame, ranks: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ranks whose lines match and have different places, with b's id and a's place as `early`."""
-    for x in "ab":
-        pairs = pairs.join(ranks.select(F.col("rank").alias(x), F.col("id").alias(f"{x}_id")), x)
-    side = lambda x: firsts.select(F.col("id").alias(f"{x}_id"), F.col("own").alias(f"{x}_own"), F.col("line").alias(f"{x}_line"))
-    met = pairs.join(side("a"), "a_id").join(side("b"), "b_id").where("a_own != b_own")
-    # A lambda's argument is computed once, a column of a join's condition as often as it is named.
+def _verified(pairs: DataFrame, ranks: DataFrame | None, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines match and have different places, with b's id and a's place as `early`. `lines` has id, own
+    and line; a and b are its ids or, given `ranks` (id, rank), their ranks."""
+    sides = pairs.select("a", "b", F.explode_outer(F.array("a", "b")).alias("id"))
+    if ranks is not None:
+        sides = sides.withColumnRenamed("id", "rank").join(ranks, "rank").drop("rank").withColumnRenamed("id", "id_")
+        sides = sides.select("a", "b", F.col("id_").alias("id"))
+    # All lines pass by once; a pair's two lines meet after.
+    side = sides.join(lines.select("id", "own", "line"), "id").select("a", "b", F.struct("own", "id", "line").alias("side"))
+    met = side.groupBy("a", "b").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x.own != y.own")
+    # A lambda's argument is computed once, a column of a filter as often as it is named.
     given = lambda x, f: F.transform(F.array(x), f)[0]
-    words = F.struct(*[F.array_distinct(_words(F.col(f"{x}_line"))).alias(x) for x in "ab"])
-    counted = given(words, lambda w: F.struct(F.size(F.array_intersect(w["a"], w["b"])).alias("both"), (F.size(w["a"]) + F.size(w["b"])).alias("sum")))
-    return met.where(given(counted, lambda c: 100 * c["both"] >= PERCENT * (c["sum"] - c["both"]))).select("a", "b", F.col("b_id").alias("id"), F.col("a_own").alias("early"))
+    words = F.struct(*[F.array_distinct(_words(F.col(f"{x}.line"))).alias(x) for x in "xy"])
+    counted = given(words, lambda w: F.struct(F.size(F.array_intersect(w["x"], w["y"])).alias("both"), (F.size(w["x"]) + F.size(w["y"])).alias("sum")))
+    return met.where(given(counted, lambda c: 100 * c["both"] >= PERCENT * (c["sum"] - c["both"]))).select("a", "b", F.col("y.id").alias("id"), F.col("x.own").alias("early"))
+
+
+def ordered_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
+    """Every line that has a word: id, own (its place) and line; ids are in the order of places. Rows that share all of `ids`
+    are ordered in one task."""
+    lines = numbered_lines(docs.select(*ids, "text").repartitionByRange(*ids), ids).sortWithinPartitions(*ids, "line_no")
+    return lines.select(F.monotonically_increasing_id().alias("id"), F.struct(*ids, "line_no").cast(place_type(docs, ids)).alias("own"), "line")
 
 
 def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
@@ -153,32 +173,32 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     A place is the struct of `ids` and line_no; nulls in it come first. Words are compared as written. Several lines can
     have one place, where rows share all of `ids`; of these none is earlier than another.
     """
-    lines = numbered_lines(docs, ids).select(*_line_key(), F.struct(F.struct(*ids, "line_no").alias("own"), "line").alias("row"))
-    # Copies meet here after each task has merged its own.
-    merged = lines.groupBy("k1", "k2").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
-    firsts = materialize(merged.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "copies", F.col("row.own").cast(place_type(docs, ids)).alias("own"), F.col("row.line").alias("line")), "first-lines")
+    lines = materialize(ordered_lines(docs, ids), "ordered-lines")
     collect_garbage(docs.sparkSession)
-    # Ranks are in the order of places, and small where places may be wide.
-    ordered = firsts.select("id", "own").repartitionByRange("own").sortWithinPartitions("own")
-    ranks = materialize(ordered.select("id", F.monotonically_increasing_id().alias("rank")), "line-ranks")
-    collect_garbage(docs.sparkSession)
-    # From here on a line's id is its rank.
-    signed = materialize(signatures(firsts.select("id", "line")).join(ranks, "id").drop("id").withColumnRenamed("rank", "id"), "line-signatures")
+    # Copies meet here after each task has merged its own.
+    merged = lines.select(*_line_key(), "id").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    firsts = materialize(merged, "first-lines")
+    signed = materialize(signatures(lines.select("id", "line").join(firsts.select("id"), "id"), lines), "line-signatures")
     collect_garbage(docs.sparkSession)
     heads = materialize(_heads(signed), "line-heads")
     collect_garbage(docs.sparkSession)
-    bounds = materialize(_verified(heads, ranks, firsts).groupBy("b", "id").agg(F.min("a").alias("bound"), F.min("early").alias("early")), "line-bounds")
+    bounds = materialize(_verified(heads, None, lines).groupBy("b", "id").agg(F.min("a").alias("bound"), F.min("early").alias("early")), "line-bounds")
     drop(heads)
     collect_garbage(docs.sparkSession)
-    pairs = materialize(_candidates(signed.drop("picks").join(bounds.select(F.col("b").alias("id"), "bound"), "id", "left")), "line-pairs")
+    bounded = materialize(signed.drop("picks").join(bounds.select(F.col("b").alias("id"), "bound"), "id", "left"), "line-bounded")
     drop(signed)
+    parts = []
+    for part in range(_PARTS):
+        collect_garbage(docs.sparkSession)
+        parts.append(materialize(_candidates(bounded, part), "line-pairs"))
+    drop(bounded)
     collect_garbage(docs.sparkSession)
-    found = _verified(pairs, ranks, firsts).select("id", "early").union(bounds.select("id", "early"))
+    found = _verified(reduce(DataFrame.union, parts).distinct(), None, lines).select("id", "early").union(bounds.select("id", "early"))
     matched = materialize(found.groupBy("id").agg(F.min("early").alias("early")), "line-matches")
-    drop(pairs, bounds, ranks)
-    out = firsts.select("id", "k1", "k2", "copies", "own").join(matched, "id", "left").where("copies > 1 or early is not null")
+    drop(*parts, bounds)
+    out = firsts.join(matched, "id", "left").where("copies > 1 or early is not null").join(lines.select("id", "own"), "id")
     out = materialize(out.select("k1", "k2", F.least("own", "early").alias("first")), "line-verdicts")
-    drop(firsts, matched)
+    drop(lines, firsts, matched)
     return out
 
 

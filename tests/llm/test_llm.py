@@ -550,3 +550,18 @@ def test_clashing_columns_give_way(spark):
         assert len(out.columns) == len(set(out.columns)) == n and name in out.columns and out.count() == 2
     odd = spark.createDataFrame([(1, "a b c d e f\nx y", 9, 8), (2, "a b c d e f", 7, 6)], "doc_id long, text string, __lines int, __gone int")
     assert [tuple(r) for r in lines.dedup_lines(odd).collect()] == [(1, "a b c d e f\nx y", 9, 8)]
+
+
+def test_prefix_words_are_searched_in_parts(spark):
+    """The parts together find what one search finds, each some of it, and lines are numbered in the order of their places."""
+    rng = random.Random(47)
+    words = [f"p{k}" for k in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(60)]
+    texts += [" ".join([*t.split()[1:], "new"]) for t in texts]
+    signed = lines.signatures(spark.createDataFrame(list(enumerate(texts)), "id long, line string")).selectExpr("*", "cast(null as bigint) as bound").cache()
+    parts = [{tuple(r) for r in lines._candidates(signed, k).collect()} for k in range(lines._PARTS)]
+    whole = {tuple(r) for r in lines._candidates(signed).collect()}
+    assert set().union(*parts) == whole and all(0 < len(part) < len(whole) for part in parts)
+    docs = spark.createDataFrame([(k, "b b\n \nc") for k in (5, None, 3, 5, None, 9, 1)] + [(7, None), (8, "")], "doc_id long, text string").repartition(3)
+    own = [(r.own.doc_id is not None, r.own.doc_id or 0, r.own.line_no) for r in lines.ordered_lines(docs, ["doc_id"]).orderBy("id").collect()]
+    assert own == sorted(own) and len(own) == 14
