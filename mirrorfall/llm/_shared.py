@@ -69,6 +69,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialize(), with rows dealt out by `key` as a shuffle deals them out, so that joins on it leave them in place."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"spark_catalog.default.mirrorfall_{uuid.uuid4().hex[:12]}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(table)
+    out = spark.table(table)
+    out._scratch, out._table = path, table
+    return out
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Lets Spark's cleaner free the shuffles of jobs that are done: it does when the driver has collected their plans, for
     which one collection is not enough."""
@@ -81,8 +92,10 @@ def collect_garbage(spark: SparkSession) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables of materialize() that nothing will read again and, every few seconds, the shuffles of jobs that are done."""
+    """Deletes tables of materialize() and materialize_by() that nothing will read again and, every few seconds, the shuffles of jobs that are done."""
     for table in tables:
+        if hasattr(table, "_table"):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._table}")
         _delete(table.sparkSession, table._scratch)
     if tables and time.monotonic() - _collected > 5:
         collect_garbage(tables[0].sparkSession)

@@ -1,7 +1,8 @@
 """Line deduplication as an exact set-similarity self-join, with DataFrame operations only.
 
 1. Lines are written in the order of their places and numbered by it. Equal lines are merged by their hashes, without their
-   text, to the first number and how often they occur.
+   text, to the first number. The first lines' texts and signatures are dealt out by number once; the joins that follow move
+   only the numbers and, of lines that are in a pair, the texts.
 2. A line's leads are hashes of one of its two least and one of its two greatest word hashes each, so near copies share most of
    them. Each line is held against the first lines of each of its leads; a match bounds what is still sought for it. Of a
    group of near copies, all but a few are bound to the first, and do not meet each other.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import collect_garbage, drop, fresh, materialize
+from ._shared import collect_garbage, drop, fresh, materialize, materialize_by
 
 #: Lines match where 100 * |A and B| >= PERCENT * |A or B| over their sets of words.
 PERCENT = 80
@@ -37,7 +38,7 @@ _HASH_BITS = 55
 #: Against how many of a lead's first lines its others are held; the very first can be an outlier of its group.
 _HEADS = 4
 #: Parts in which prefix words are searched one after another, all of them.
-_PARTS = 3
+_PARTS = 2
 
 
 def _words(line: Column) -> Column:
@@ -92,12 +93,13 @@ def signatures(firsts: DataFrame, every: DataFrame | None = None) -> DataFrame:
     # Rarer words first; equal levels in the order of the hashes, equal hashes in any. A null would make the sort a slow one.
     code = lambda h: F.shiftleft(F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("long")), _HASH_BITS).bitwiseOR(h.bitwiseAND(low))
     hashed = firsts.select("id", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))).alias("hashes"))
-    n = F.size("hashes")
-    prefix = F.slice(F.sort_array(F.transform("hashes", code)), F.lit(1), n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1)
+    # Columns of their own: below a lambda's argument all is interpreted, and made again for each time that it is named.
+    hashed = hashed.select("id", "hashes", F.sort_array(F.transform("hashes", code)).alias("codes"), F.size(F.filter("hashes", lambda h: h < 0)).alias("least"))
+    n = F.size("codes")
+    prefix = F.slice("codes", F.lit(1), n - F.call_function("div", PERCENT * n + 99, F.lit(100)).cast("int") + 1)
     flip = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
     # Half of the words, by the hash's sign, flip bits of s0, the others of s1.
-    least = F.size(F.filter("hashes", lambda h: h < 0))
-    halves = {"s0": F.slice("hashes", F.lit(1), least), "s1": F.slice("hashes", least + 1, n - least)}
+    halves = {"s0": F.slice("hashes", F.lit(1), F.col("least")), "s1": F.slice("hashes", F.col("least") + 1, n - F.col("least"))}
     sketch = [F.aggregate(half, F.lit(0).cast("long"), flip).alias(s) for s, half in halves.items()]
     at = lambda k: F.coalesce(F.get("hashes", k), F.col("hashes")[0])
     # Made before lines fan out, so once for each line; of a word's code, 32 bits are enough to meet by.
@@ -127,13 +129,14 @@ def _candidates(signed: DataFrame, part: int | None = None) -> DataFrame:
     keys = signed.select(F.posexplode_outer("prefix").alias("pos", "word"), "id", "bound", "n", "s0", "s1")
     if part is not None:
         keys = keys.where(F.col("word") % _PARTS == part)
-    keys = keys.select("word", "id", "bound", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "s0", "s1")
+    keys = keys.select("word", "id", F.coalesce("bound", "id").alias("until"), F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("pn"), "s0", "s1")
     a, b = keys.alias("a"), keys.alias("b")
     n_of = lambda x: F.col(f"{x}.pn").bitwiseAND(F.lit(0xFFFFFFFF))
     pos_of = lambda x: F.shiftright(f"{x}.pn", 32)
     an, bn, ap, bp = n_of("a"), n_of("b"), pos_of("a"), pos_of("b")
     need = _need(an, bn)
-    close = (F.col("a.id") < F.coalesce("b.bound", "b.id")) & _like(an, bn, "a", "b") & (F.least(an - ap, bn - bp) >= need)
+    # The second term follows from the first; it has both sides read the same columns, so that one shuffle serves both.
+    close = (F.col("a.id") < F.col("b.until")) & (F.col("a.until") < F.col("b.id")) & _like(an, bn, "a", "b") & (F.least(an - ap, bn - bp) >= need)
     return a.join(b, (F.col("a.word") == F.col("b.word")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
@@ -149,8 +152,9 @@ def _verified(pairs: DataFrame, ranks: DataFrame | None, lines: DataFrame) -> Da
     if ranks is not None:
         sides = sides.withColumnRenamed("id", "rank").join(ranks, "rank").drop("rank").withColumnRenamed("id", "id_")
         sides = sides.select("a", "b", F.col("id_").alias("id"))
-    # All lines pass by once; a pair's two lines meet after.
-    side = sides.join(lines.select("id", "own", "line"), "id").select("a", "b", F.struct("own", "id", "line").alias("side"))
+    # All lines pass by once, in place if they are dealt out by id, and those in no pair go; a pair's two lines meet after.
+    paired = lines.select("id", "own", "line").join(sides.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    side = sides.join(paired, "id").select("a", "b", F.struct("own", "id", "line").alias("side"))
     met = side.groupBy("a", "b").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x.own != y.own")
     # A lambda's argument is computed once, a column of a filter as often as it is named.
     given = lambda x, f: F.transform(F.array(x), f)[0]
@@ -176,16 +180,19 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
     lines = materialize(ordered_lines(docs, ids), "ordered-lines")
     collect_garbage(docs.sparkSession)
     # Copies meet here after each task has merged its own.
-    merged = lines.select(*_line_key(), "id").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    firsts = materialize(merged, "first-lines")
-    signed = materialize(signatures(lines.select("id", "line").join(firsts.select("id"), "id"), lines), "line-signatures")
+    merged = lines.select(*_line_key(), "id").groupBy("k1", "k2").agg(F.min("id").alias("id"), (F.count("*") > 1).alias("repeated"))
+    firsts = materialize(merged.select("id", "repeated"), "first-lines")
+    texts = materialize_by(lines.join(firsts.hint("shuffle_hash"), "id"), "line-texts", "id")
+    drop(lines, firsts)
+    collect_garbage(docs.sparkSession)
+    signed = materialize_by(signatures(texts.select("id", "line")), "line-signatures", "id")
     collect_garbage(docs.sparkSession)
     heads = materialize(_heads(signed), "line-heads")
     collect_garbage(docs.sparkSession)
-    bounds = materialize(_verified(heads, None, lines).groupBy("b", "id").agg(F.min("a").alias("bound"), F.min("early").alias("early")), "line-bounds")
+    bounds = materialize(_verified(heads, None, texts).groupBy("b", "id").agg(F.min("a").alias("bound"), F.min("early").alias("early")), "line-bounds")
     drop(heads)
     collect_garbage(docs.sparkSession)
-    bounded = materialize(signed.drop("picks").join(bounds.select(F.col("b").alias("id"), "bound"), "id", "left"), "line-bounded")
+    bounded = materialize(signed.drop("picks").join(bounds.select("id", "bound").hint("shuffle_hash"), "id", "left"), "line-bounded")
     drop(signed)
     parts = []
     for part in range(_PARTS):
@@ -193,12 +200,12 @@ def matching_lines(docs: DataFrame, ids: list[str]) -> DataFrame:
         parts.append(materialize(_candidates(bounded, part), "line-pairs"))
     drop(bounded)
     collect_garbage(docs.sparkSession)
-    found = _verified(reduce(DataFrame.union, parts).distinct(), None, lines).select("id", "early").union(bounds.select("id", "early"))
+    found = _verified(reduce(DataFrame.union, parts).distinct(), None, texts).select("id", "early").union(bounds.select("id", "early"))
     matched = materialize(found.groupBy("id").agg(F.min("early").alias("early")), "line-matches")
     drop(*parts, bounds)
-    out = firsts.join(matched, "id", "left").where("copies > 1 or early is not null").join(lines.select("id", "own"), "id")
-    out = materialize(out.select("k1", "k2", F.least("own", "early").alias("first")), "line-verdicts")
-    drop(lines, firsts, matched)
+    out = texts.join(matched.hint("shuffle_hash"), "id", "left").where("repeated or early is not null")
+    out = materialize(out.select(*_line_key(), F.least("own", "early").alias("first")), "line-verdicts")
+    drop(texts, matched)
     return out
 
 

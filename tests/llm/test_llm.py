@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ import sentencepiece
 
 import corpus_pipeline
 from mirrorfall.llm import decontam, lines, neardups, paragraphs, pieces, pii, quality, sharding, toxicity, warc
+from mirrorfall.llm._shared import drop, materialize_by
 from mirrorfall.llm.queries import QUERIES
 
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnop", k=3 + i % 6)) for i in range(400)]
@@ -565,3 +567,38 @@ def test_prefix_words_are_searched_in_parts(spark):
     docs = spark.createDataFrame([(k, "b b\n \nc") for k in (5, None, 3, 5, None, 9, 1)] + [(7, None), (8, "")], "doc_id long, text string").repartition(3)
     own = [(r.own.doc_id is not None, r.own.doc_id or 0, r.own.line_no) for r in lines.ordered_lines(docs, ["doc_id"]).orderBy("id").collect()]
     assert own == sorted(own) and len(own) == 14
+
+
+def test_lines_move_their_texts_twice(spark):
+    """Once to be put in order, once to be dealt out; the joins that follow leave them in place, even those too large to broadcast."""
+    rng = random.Random(31)
+    texts = [" ".join("".join(rng.choices(string.ascii_letters + string.digits, k=600)) for _ in range(9)) for _ in range(600)]
+    texts = [t for k, t in enumerate(texts) for t in [t, f"{t[:-1]}~"][: 1 + (k % 20 == 0)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    context = spark.sparkContext
+    moved = lambda: {s.stageId(): s.shuffleWriteBytes() for s in _stages(context)}
+    before, limit = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert lines.matching_lines(docs, ["doc_id"]).count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    size = sum(map(len, texts))
+    assert sum(n for k, n in moved().items() if k not in before) < 3 * size
+
+
+def _stages(context):
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return [store.apply(k) for k in range(store.size())]
+
+
+def test_tables_that_are_dealt_out_join_in_place(spark):
+    rows = materialize_by(spark.range(1000).selectExpr("id", "cast(id as string) as line"), "test", "id")
+    few = spark.range(0, 2000, 3).hint("shuffle_hash")
+    joined = rows.join(few, "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert sorted(r.line for r in joined.collect()) == sorted(map(str, range(0, 1000, 3)))
+    drop(rows)
+    assert not spark.catalog.tableExists(rows._table)
